@@ -162,7 +162,8 @@ def pieces(placed: DataFrame, block_words: int) -> DataFrame:
 
 def taken(m: Mix) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words, repeats counted), and uid."""
-    times = m.slots.groupBy("source_id", "block").agg(F.count("*").alias("times"))
+    # slots come from a small table of counts, by whose size Spark would take them for small: no broadcast
+    times = m.slots.groupBy("source_id", "block").agg(F.count("*").alias("times")).hint("merge")
     return (
         pieces(m.documents, m.block_words)
         .join(times, ["source_id", "block"], "left")
@@ -187,7 +188,7 @@ def blocks(m: Mix, docs: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_list("part")).alias("parts"))
         .select("source_id", "block", F.array_join(F.flatten(F.col("parts.ws")), " ").alias("text"))
     )
-    return m.slots.join(parts, ["source_id", "block"]).select("shard", "source_id", "q", "block", "text")
+    return m.slots.hint("merge").join(parts, ["source_id", "block"]).select("shard", "source_id", "q", "block", "text")
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
