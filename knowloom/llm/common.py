@@ -17,6 +17,8 @@ BROADCAST_ROWS = 50_000
 #: Keys that hold at least 1/HOT_SHARE of all rows are joined by broadcast; there can be HOT_SHARE of them at most.
 HOT_SHARE = 1000
 
+BITMAP_BITS = 1 << 26
+
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -86,6 +88,19 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, total: int, ho
     return warm.unionByName(cold)
 
 
+def with_ids_among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose key is among ids (one column), and a few others whose hash falls together with one.
+
+    A filter before a join: df's rows are not shuffled. The ids become a bitmap of BITMAP_BITS hashed bits in 4 KB
+    pieces, 8 MB at most whatever their number, which is broadcast; with very many ids it just lets more rows through.
+    """
+    hashed = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(BITMAP_BITS))
+    pieces = ids.select(hashed.alias("h")).groupBy(F.floor(F.col("h") / 32768).alias("__piece")).agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("__bits"))
+    marked = df.withColumn("__h", F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))).withColumn("__piece", F.floor(F.col("__h") / 32768))
+    byte = F.expr("CAST(conv(hex(substring(__bits, CAST(__h % 32768 DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)")
+    return marked.join(F.broadcast(pieces), "__piece").where(F.getbit(byte, (F.col("__h") % 8).cast("int")) == 1).select(*df.columns)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)

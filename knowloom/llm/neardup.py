@@ -4,10 +4,11 @@
    class's smallest doc_id goes on.
 2. MinHash signatures are cut into bands; classes that share a band are candidates. With b bands of r hashes a pair
    of similarity t is missed with probability (1 - t^r)^b: 6e-11 for t = 0.85, 5e-8 for t = 0.8 (b = 32, r = 4).
-3. First each bucket's members are compared with its smallest and largest id, which joins dense groups in
-   time linear in their size. Then the members of buckets that still hold several components are compared across
-   components, in blocks of a bucket, so that no group of any size is in one task and no pair within a component
-   is made. A pair is looked at in the first band that it shares.
+3. First each bucket's members are compared with its smallest and largest id, which joins dense groups in time
+   linear in their size. The pairs that are not pruned make clusters of similar documents. In clusters that still
+   hold several components all pairs across components are compared, in blocks of a cluster, so that no group of
+   any size is in one task; a block gives only the links that join components, not its pairs. Last, the members of a
+   bucket that are in different clusters are compared in the same way, each pair in the first band that it shares.
 4. Each comparison reads the signatures batch by batch and stops where, after m of n equal hashes, the posterior
    probability (uniform prior) of the threshold similarity is below `miss`.
 5. Survivors are verified on their full shingle sets, and linked ones become connected components.
@@ -30,10 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, Scratch, components, join_hot
+from .common import ASCII_LOWER, ASCII_UPPER, Scratch, components, join_hot, with_ids_among
 
 BANDS, ROWS, BATCH, MISS = 32, 4, 32, 1e-6
-BLOCK = 128
+#: Members of a block of a bucket; members, and shingles, of a block of a cluster.
+BUCKET_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 512, 256, 500_000
 SEED = 11
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans(ASCII_UPPER, ASCII_LOWER)
@@ -100,7 +102,7 @@ def sign(k: int, n: int):
                     s = shingles(text)
                     ns.append(len(s))
                     if len(s):
-                        sig = signature(s, n)
+                        sig = signature(s, n).astype(np.uint16)  # 16 bits do: equal hashes stay equal
                         digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                         sigs.append(sig.tobytes())
                         bands.append(band_keys(sig))
@@ -144,61 +146,142 @@ def prune_pairs(n: int, t: float, miss: float):
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32).reshape(-1, n) for c in (2, 3))
+                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, n) for c in (2, 3))
                 yield part.select([0, 1]).take(pa.array(survives(a, b, t, miss)))
 
     return run, "a long, b long"
 
 
-def block_pairs(n: int, t: float, miss: float):
-    """Rows (key, band, mine, other, side, rep, comp, sig), sorted by key: the survivors across components, of blocks of a bucket."""
+def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows sorted by keys to a table per group; a group may go over several batches."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
+        at = np.stack([table.column(c).to_numpy() for c in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist()]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield table.slice(lo, hi - lo)
+        rest = table.slice(cuts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
 
-    def compare(band: int, side: np.ndarray, rep: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> np.ndarray:
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        x, y = np.meshgrid(left, right, indexing="ij")
-        ok = (rep[x] < rep[y]) | ((side[x] == 0) & (side[y] == 1))
-        ok &= comp[x] != comp[y]
-        x, y = x[ok], y[ok]
-        out = []
+
+def across(side: np.ndarray, rep: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a block pair (side 0, 1) or within a block (side 2) whose values of `apart` differ."""
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    x, y = (v.ravel() for v in np.meshgrid(left, right, indexing="ij"))
+    ok = (apart[x] != apart[y]) & ((rep[x] < rep[y]) | ((side[x] == 0) & (side[y] == 1)))
+    return x[ok], y[ok]
+
+
+def signatures(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, n)
+
+
+def batch_of(pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if pairs and len(out := np.concatenate(pairs)):
+        yield pa.RecordBatch.from_arrays([pa.array(out.min(axis=1)), pa.array(out.max(axis=1))], names=["a", "b"])
+
+
+def bucket_pairs(n: int, t: float, miss: float):
+    """Rows (bkey, i, j, band, side, rep, cluster, sig), sorted: survivors across clusters, in the first band that they share."""
+
+    def compare(table: pa.Table) -> np.ndarray:
+        side, rep, cluster = (table.column(c).to_numpy() for c in ("side", "rep", "cluster"))
+        band, sig, out = table.column("band")[0].as_py(), signatures(table.column("sig"), n), []
+        x, y = across(side, rep, cluster)
         for lo in range(0, len(x), 8192):
             i, j = x[lo : lo + 8192], y[lo : lo + 8192]
             same = (sig[i].reshape(len(i), -1, ROWS) == sig[j].reshape(len(i), -1, ROWS)).all(axis=2)
-            here = same.argmax(axis=1) == band  # the first band that they share
+            here = same.argmax(axis=1) == band
             i, j = i[here], j[here]
             alive = survives(sig[i], sig[j], t, miss)
-            p, q = rep[i[alive]], rep[j[alive]]
-            out.append(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1))
+            out.append(np.stack([rep[i[alive]], rep[j[alive]]], axis=1))
         return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        rest: pa.Table | None = None
-
-        def groups(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            table = table.combine_chunks()
-            band, side, rep, comp = (table.column(c).to_numpy() for c in ("band", "side", "rep", "comp"))
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, n)
-            keys = np.stack([table.column(c).to_numpy() for c in ("bkey", "i", "j")], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            found = [compare(int(band[lo]), side[lo:hi], rep[lo:hi], comp[lo:hi], sig[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False) if hi - lo > 1]
-            if found and len(out := np.concatenate(found)):
-                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], schema=schema)
+        found: list[np.ndarray] = []
+        for table in grouped(batches, ("bkey", "i", "j")):
+            if table.num_rows > 1:
+                found.append(compare(table))
+            if len(found) >= 1000:
+                yield from batch_of(found)
+                found = []
+        yield from batch_of(found)
 
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]) if rest is not None else table
-            keys = np.stack([table.column(c).to_numpy() for c in ("bkey", "i", "j")], axis=1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            cut = int(cuts[-1]) if len(cuts) else 0  # the last group may go on in the next batch
-            if cut:
-                yield from groups(table.slice(0, cut))
-            rest = table.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield from groups(rest)
+    return run, "a long, b long"
+
+
+def overlap(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set: products of 0/1 matrices over slices of the shingles that several sets have."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    mine = [sets[k] for k in (*left, *right)]
+    owner = np.repeat(np.arange(len(mine)), [len(s) for s in mine])
+    _, place, count = np.unique(np.concatenate(mine), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place, owner = (np.cumsum(shared) - 1)[place[keep := shared[place]]], owner[keep]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    for lo in range(0, int(shared.sum()), 8192):
+        a, b = np.searchsorted(place, (lo, lo + 8192))
+        m = np.zeros((len(mine), 8192), np.float32)
+        m[owner[a:b], place[a:b] - lo] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
+def cluster_links(n: int, percent: int, miss: float):
+    """Rows (cluster, i, j, side, rep, comp, sig, shingles), sorted: links (a, b) that join the components of a block pair."""
+
+    def compare(table: pa.Table) -> np.ndarray:
+        side, rep, comp = (table.column(c).to_numpy() for c in ("side", "rep", "comp"))
+        sig = signatures(table.column("sig"), n)
+        x, y = across(side, rep, comp)
+        alive = [lo + survives(sig[x[lo : lo + 8192]], sig[y[lo : lo + 8192]], percent / 100, miss) for lo in range(0, len(x), 8192)]
+        alive = np.concatenate(alive) if alive else np.empty(0, np.int64)
+        if not len(alive):
+            return np.empty((0, 2), np.int64)
+        x, y = x[alive], y[alive]
+        lists = table.column("shingles").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        flat, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        sets = [flat[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+        size = np.diff(offsets)
+        left, right = np.unique(x), np.unique(y)
+        common = overlap(sets, left, right)[np.searchsorted(left, x), np.searchsorted(right, y)].astype(np.int64)
+        linked = 100 * common >= percent * (size[x] + size[y] - common)
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                c = up
+            return c
+
+        out = []
+        for i, j in zip(x[linked].tolist(), y[linked].tolist(), strict=True):
+            p, q = find(int(comp[i])), find(int(comp[j]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((rep[i], rep[j]))
+        return np.array(out, np.int64).reshape(-1, 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, ("cluster", "i", "j")):
+            if table.num_rows > 1:
+                yield from batch_of([compare(table)])
 
     return run, "a long, b long"
 
 
+def block_rows(members: DataFrame, key: str) -> DataFrame:
+    """members (key, rep, blocks, ...), each dealt to a block, to rows of all the pairs (i, j) of blocks that it belongs to."""
+    rows = members.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    rows = rows.select("*", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side")).drop("mine", "other", "blocks")
+    return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
 def shingle_sets(k: int):
     schema = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
@@ -224,17 +307,16 @@ class Linker:
         both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
         return self.scratch.keep(both.mapInArrow(run, schema), f"pruned-{name}")
 
+    def sets(self, ids: DataFrame, name: str) -> DataFrame:
+        """rep, shingles of the representatives ids (rep), and of a few more; one row for each."""
+        run, schema = shingle_sets(self.k)
+        texts = with_ids_among(self.docs, "doc_id", ids).select(F.col("doc_id").alias("rep"), "text")
+        return self.scratch.keep(texts.mapInArrow(run, schema), f"sets-{name}")
+
     def linked(self, pairs: DataFrame, name: str) -> DataFrame:
         """pairs is a written table."""
-        ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-        digests = self.sigs.select("rep", "digest")
-        run, schema = shingle_sets(self.k)
-        texts = self.docs.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "text")
-        sets = texts.mapInArrow(run, schema)
-        # a doc_id of several rows may have several sets: the representative's is the one of its class
-        sets = sets.dropDuplicates(["rep"]) if self.repeated_ids else sets
-        sets = self.scratch.keep(sets, f"sets-{name}")
-        del digests
+        sets = self.sets(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))), name)
+        sets = sets.dropDuplicates(["rep"]) if self.copies else sets
         near = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         common = F.size(F.array_intersect("x", "y"))
         near = near.where(100 * common >= self.percent * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -242,7 +324,8 @@ class Linker:
         self.scratch.drop(f"sets-{name}")
         return near
 
-    repeated_ids = False
+    #: Whether rows repeat wholly.
+    copies = False
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, k: int, percent: int, bands: int = BANDS, miss: float = MISS) -> DataFrame:
@@ -255,42 +338,48 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int, percent: int, ban
     full = sigs.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = scratch.keep(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
 
-    # rows of one doc_id with different texts are one node, so they link their classes
+    # rows of one doc_id with different texts are one node with several sets
     several = full.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.max("digest").alias("top")).where("digest <> top")
-    several = scratch.keep(full.join(several.select("doc_id", F.col("digest").alias("first")), "doc_id").select("digest", "first").distinct(), "several")
-    same = several.join(classes.select("digest", F.col("rep").alias("a")), "digest").join(classes.select(F.col("digest").alias("first"), F.col("rep").alias("b")), "first").select("a", "b")
-
-    reps = full.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
-    # the smallest id of two classes may be the same doc_id: then one of its sets stands for it, by (doc_id, digest)
-    repeated = not several.isEmpty()
-    reps = reps.select(F.col("doc_id").alias("rep"), "digest", "sig", "bands")
-    reps = reps.dropDuplicates(["rep", "digest"]) if repeated or classes.agg(F.sum("n")).first()[0] != total else reps
-    if repeated:  # nodes by class instead of by doc_id, so that each node has one set
+    if not several.isEmpty():  # nodes by row instead of by doc_id, so that each node has one set
         return _by_row(docs, scratch, k, percent, bands, miss)
+    reps = full.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "sig", "bands")
+    linker = Linker(docs, reps, scratch, k, percent, n, miss)
+    if full.count() > full.select("doc_id").distinct().count():
+        linker.copies = True
+        reps = linker.sigs = reps.dropDuplicates(["rep"])
 
     members = reps.select("rep", F.posexplode("bands").alias("band", "bkey"))
     buckets = scratch.keep(members.groupBy("bkey").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("c")).where("c > 1"), "buckets")
     shared = scratch.keep(join_hot(members, buckets.withColumn("n", F.col("c")), "bkey", "n", total), "shared")
-    linker = Linker(docs, reps, scratch, k, percent, n, miss)
-
     stars = shared.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).unionByName(shared.where("rep <> hi").select(F.col("rep").alias("a"), F.col("hi").alias("b")))
-    edges = linker.linked(linker.pruned(stars.distinct(), "stars"), "stars").unionByName(same)
-    labels = components(scratch, edges, "first")
-
-    # buckets that still hold several components
-    named = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bkey", "band", "rep", "c", F.coalesce("label", "rep").alias("comp"))
+    similar = linker.pruned(stars.distinct(), "stars")
+    clusters = components(scratch, similar, "clusters").select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
+    labels = components(scratch, linker.linked(similar, "stars"), "stars").select(F.col("node").alias("rep"), F.col("label").alias("comp"))
+
+    # clusters of several components
+    inside = clusters.unionByName(clusters.select(F.col("cluster").alias("rep"), "cluster").distinct())
+    inside = inside.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(reps.select("rep", "n_shingles"), "rep")
+    inside = scratch.keep(inside, "inside")
+    sizes = inside.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+    blocks = F.ceil(F.greatest(F.col("n") / CLUSTER_BLOCK, F.col("s") / CLUSTER_SHINGLES)).cast("long")
+    open_ = scratch.keep(join_hot(inside, sizes.select("cluster", "n", blocks.alias("blocks")), "cluster", "n", total).select("cluster", "rep", "comp", "blocks"), "open")
+    sets = linker.sets(open_.select("rep"), "open")
+    sets = sets.dropDuplicates(["rep"]) if linker.copies else sets
+    run, schema = cluster_links(n, percent, miss)
+    rows = block_rows(open_.join(reps.select("rep", "sig"), "rep").join(sets, "rep"), "cluster").select("cluster", "i", "j", "side", "rep", "comp", "sig", "shingles")
+    more = scratch.keep(rows.mapInArrow(run, schema), "linked-open")
+    scratch.drop("sets-open")
+
+    # buckets of several clusters
+    named = shared.join(inside.select("rep", "cluster"), "rep", "left").select("bkey", "band", "rep", "c", F.coalesce("cluster", "rep").alias("cluster"))
     named = scratch.keep(named, "named")
-    open_ = named.groupBy("bkey").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y").select("bkey", "n")
-    left = join_hot(named, open_, "bkey", "n", total).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("long"))
-    left = left.join(reps.select("rep", "sig"), "rep").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    left = left.select("bkey", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "band", side.alias("side"), "rep", "comp", "sig")
-    run, schema = block_pairs(n, percent / 100, miss)
-    rest = left.repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j").mapInArrow(run, schema)
-    more = linker.linked(scratch.keep(rest, "pruned-rest"), "rest")
-    ends = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    labels = components(scratch, ends.unionByName(more), "last")
+    wide = named.groupBy("bkey").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"), F.count("*").alias("n")).where("x <> y").select("bkey", "n")
+    wide = join_hot(named, wide, "bkey", "n", total).withColumn("blocks", F.ceil(F.col("c") / BUCKET_BLOCK).cast("long"))
+    run, schema = bucket_pairs(n, percent / 100, miss)
+    rows = block_rows(wide.join(reps.select("rep", "sig"), "rep"), "bkey").select("bkey", "i", "j", "band", "side", "rep", "cluster", "sig")
+    last = linker.linked(scratch.keep(rows.mapInArrow(run, schema), "pruned-buckets"), "buckets")
+    ends = labels.select(F.col("rep").alias("a"), F.col("comp").alias("b"))
+    labels = components(scratch, ends.unionByName(more).unionByName(last), "last")
 
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "n", F.coalesce("label", "rep").alias("component_id"))
     out = join_hot(full.select("digest", "doc_id", "n_shingles"), named, "digest", "n", total).select("doc_id", "n_shingles", "component_id")
