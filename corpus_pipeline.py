@@ -15,7 +15,7 @@ from knowloom.llm import decontam, langid, mixing, neardup, pii
 from knowloom.llm.common import Scratch
 
 #: Texts whose language is less sure than this go.
-MIN_LANGUAGE_SCORE = 0.5
+MIN_LANGUAGE_SCORE = 0.4
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 

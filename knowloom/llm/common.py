@@ -113,22 +113,26 @@ def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 40)
     reduced to their minimum before the shuffle, and hot nodes are joined by broadcast. Only counts reach the driver.
     """
     edges = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    seen = None
+    state = F.count("*"), F.sum("b"), F.sum("a"), F.bit_xor(F.xxhash64("a", "b"))
+    seen = edges.agg(*state).first()
     for k in range(1, rounds + 1):
+        total = seen[0]  # neither star has more rows
+        if not total:
+            break
         # large star: each node's larger neighbours go to its smallest neighbour (or itself)
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-        large = join_hot(both.where("v > u"), low, "u", "n", max(1, edges.count() * 2)).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = join_hot(both.where("v > u"), low, "u", "n", 2 * total).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = scratch.keep(large, f"{name}-{k}-large")
         # small star: each node's smaller neighbours go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        pairs = join_hot(large, low, "a", "n", max(1, large.count()))
+        pairs = join_hot(large, low, "a", "n", total)
         edges = scratch.keep(
             pairs.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(pairs.select("a", F.col("m").alias("b"))).distinct(),
             f"{name}-{k}",
         )
         # stable once every node has one edge, to a node that has none itself, and nothing moves
-        now = edges.agg(F.count("*"), F.sum("b"), F.sum("a"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        now = edges.agg(*state).first()
         if now == seen:
             break
         seen = now

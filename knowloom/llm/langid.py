@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import ship
+from .common import Scratch
 
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 MIN_COUNT = 3
 MAX_ORDER = 5
 ALPHA = 0.2
@@ -71,10 +73,25 @@ def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 class Model:
-    """langs; by kind (0 words, 1..5 n-grams) a table from feature to its log frequencies, one per language."""
-
-    def __init__(self, langs: list[str], tables: list[dict[str, np.ndarray]]):
-        self.langs, self.tables, self.cache = langs, tables, {}
+    """langs, and a table of features: kind (0 words, 1..5 n-grams), feature, and its count in each language.
+
+    The look-up tables are built where texts are judged; the driver only passes the feature table on.
+    """
+
+    def __init__(self, langs: list[str], features: pa.Table):
+        self.langs, self.features, self.cache = langs, features, {}
+
+    @cached_property
+    def tables(self) -> list[dict[str, np.ndarray]]:
+        kinds, names = self.features.column("kind").to_numpy(), self.features.column("feature")
+        counts = np.stack([self.features.column(f"n{i}").to_numpy() for i in range(len(self.langs))], axis=1).astype(np.float32)
+        out = []
+        for kind in range(MAX_ORDER + 1):
+            rows = np.flatnonzero(kinds == kind)
+            part = counts[rows]
+            logs = (np.log(part + ALPHA) - np.log(part.sum(axis=0) + ALPHA * max(1, len(rows)))).astype(np.float32)
+            out.append(dict(zip(names.take(pa.array(rows)).to_pylist(), logs, strict=True)))
+        return out
 
     def word(self, w: str) -> np.ndarray:
         if (v := self.tables[0].get(w)) is not None:
@@ -107,37 +124,17 @@ def fit(rows: DataFrame, limit: int = SAMPLE_ROWS) -> Model:
     """A model of rows (doc_id, text, lang), of which those with all three count."""
     ship(rows.sparkSession)
     rows = rows.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    counts = (
-        sample(rows, limit)
-        .select("lang", "text")
-        .mapInArrow(count_features, "lang string, kind long, feature string, n long")
-        .groupBy("kind", "feature", "lang")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("kind", "feature")
-        .agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"), F.sum("n").alias("all"))
-        .where(F.col("all") >= MIN_COUNT)
-        .select("kind", "feature", "by_lang")
-    )
-    found = counts.toArrow()
-    langs = sorted({lang for m in found.column("by_lang").to_pylist() for lang, _ in m})
-    at = {lang: i for i, lang in enumerate(langs)}
-    kinds, features = found.column("kind").to_numpy(), found.column("feature").to_pylist()
-    n = np.zeros((len(features), len(langs)), np.float32)
-    for i, m in enumerate(found.column("by_lang").to_pylist()):
-        for lang, c in m:
-            n[i, at[lang]] = c
-    tables: list[dict[str, np.ndarray]] = []
-    for kind in range(MAX_ORDER + 1):
-        rows_ = np.flatnonzero(kinds == kind)
-        part = n[rows_]
-        logs = (np.log(part + ALPHA) - np.log(part.sum(axis=0) + ALPHA * max(1, len(rows_)))).astype(np.float32)
-        tables.append({features[i]: v for i, v in zip(rows_.tolist(), logs, strict=True)})
-    return Model(langs, tables)
+    counts = sample(rows, limit).select("lang", "text").mapInArrow(count_features, "lang string, kind long, feature string, n long")
+    counts = Scratch(rows.sparkSession, "langid").keep(counts.groupBy("kind", "feature", "lang").agg(F.sum("n").alias("n")), "counts")
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
+    found = counts.groupBy("kind", "feature").agg(F.sum("n").alias("all"), *by_lang).where(F.col("all") >= MIN_COUNT).drop("all")
+    return Model(langs, found.toArrow())
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """keep columns of docs with lang_pred and score for each text."""
-    sent = ship(docs.sparkSession).sparkContext.broadcast((model.langs, model.tables))
+    sent = ship(docs.sparkSession).sparkContext.broadcast((model.langs, model.features))
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
