@@ -1,10 +1,295 @@
-"""All registered queries and their SQL."""
+"""All registered queries over the knowledge operators, each with its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import kmap, records, route, split
+from . import samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+MAX_LINES = 20
+
+
+def query(sql: str):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+# --- SQL shared by the oracles ---
+
+D = "d AS (SELECT *, 'docs/' || source || '/Doc ' || CAST(doc_id AS VARCHAR) || '.md' AS path, 'doc-' || CAST(doc_id AS VARCHAR) || '-' || substr(sha256('docs/' || source || '/Doc ' || CAST(doc_id AS VARCHAR) || '.md'), 1, 8) AS id FROM documents)"
+N = r"n AS (SELECT *, list_sort(list_distinct(regexp_extract_all(text, '\p{Lu}\p{Ll}{4,}'))) AS names, list_filter(list_transform(regexp_split_to_array(text, '[.\n]+'), lambda x: trim(x)), lambda x: x <> '') AS sentences FROM d)"
+E0 = "e0 AS (SELECT id AS cku_id, source AS type, unnest(names) AS name, generate_subscripts(names, 1) AS pos, names FROM n)"
+E = "e AS (SELECT lower(name) AS id, cku_id, name, type FROM (SELECT *, row_number() OVER (PARTITION BY cku_id, lower(name) ORDER BY pos DESC) AS rn FROM e0) WHERE rn = 1)"
+R = "r AS (SELECT lower(name) AS entity_id, cku_id, lower(names[pos + 1]) AS target, 'next' AS relation_type FROM (SELECT *, row_number() OVER (PARTITION BY cku_id, lower(name) ORDER BY pos DESC) AS rn FROM e0) WHERE rn = 1 AND pos < len(names))"
+P = "t AS (SELECT DISTINCT id AS cku_id, unnest(CASE WHEN len(names) > 0 THEN [lower(source), lower(lang)] ELSE [lower(lang)] END) AS topic FROM n)"
+FA = "f AS (SELECT id AS cku_id, unnest(sentences) AS claim, generate_subscripts(sentences, 1) - 1 AS seq FROM n)"
+LINE = r"' ' || array_to_string(regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}]+'), ' ') || ' '"
+STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
+Q = "q AS (SELECT conv_id * 1000 + turn AS qid, array_to_string(string_split(text, ' ')[1:4], ' ') AS question FROM conversations WHERE role = 'user')"
+K = rf"k0 AS (SELECT qid, list_filter(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 2 AND NOT list_contains({STOP}, w)) AS ks FROM q), k AS (SELECT qid, unnest(ks) AS kw, generate_subscripts(ks, 1) - 1 AS pos FROM k0)"
+LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ROUTE = f"""{D}, {N}, {E0}, {E}, {P}, {FA}, {Q}, {K},
+kd AS (SELECT DISTINCT kw FROM k),
+en AS (SELECT DISTINCT kw, name FROM kd, (SELECT DISTINCT name FROM e) WHERE {LOW.format("name")} LIKE '%' || kw || '%'),
+tn AS (SELECT DISTINCT kw, topic FROM kd, (SELECT DISTINCT topic FROM t) WHERE {LOW.format("topic")} LIKE '%' || kw || '%'),
+s1 AS (SELECT k.qid, h.cku_id, 3.0 AS w, 1 AS signal, k.pos, 0 AS hits FROM k JOIN (SELECT DISTINCT kw, cku_id FROM en JOIN e USING (name)) h USING (kw)),
+s2 AS (SELECT k.qid, h.cku_id, 2.0 AS w, 2 AS signal, k.pos, 0 AS hits FROM k JOIN (SELECT DISTINCT kw, cku_id FROM tn JOIN t USING (topic)) h USING (kw)),
+fl AS (SELECT cku_id, seq, {LINE.format("claim")} AS line FROM f),
+ft AS (SELECT DISTINCT cku_id, seq, unnest(string_split(trim(line), ' ')) AS tok FROM fl),
+kp AS (SELECT qid, list(DISTINCT {LINE.format("kw")}) AS ps, min(trim(split_part(trim({LINE.format("kw")}), ' ', 1))) AS tok FROM k GROUP BY qid),
+s3 AS (SELECT kp.qid, fl.cku_id, 1.0 AS w, 3 AS signal, 0 AS pos, count(*) AS hits FROM kp JOIN ft USING (tok) JOIN fl USING (cku_id, seq) WHERE len(list_filter(kp.ps, lambda p: NOT contains(fl.line, p))) = 0 GROUP BY ALL),
+u AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3),
+g AS (SELECT qid, cku_id, CAST(sum(w) AS DOUBLE) AS score, min({{'signal': signal, 'pos': pos}}) AS f, max(hits) AS hits FROM u GROUP BY qid, cku_id),
+top AS (SELECT * FROM (SELECT qid, cku_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, f.signal, f.pos, hits DESC, cku_id) AS INTEGER) AS rank FROM g) WHERE rank <= 5)"""
+
+
+def tables(spark: SparkSession, sf_dir: str):
+    c = samples.cku(spark, sf_dir)
+    return c, kmap.entities(c), kmap.topics(c), kmap.facts_all(c)
+
+
+def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, e, t, f = tables(spark, sf_dir)
+    return route.top(route.scores(samples.questions(spark, sf_dir), e, t, f))
+
+
+# --- identity, splitting ---
+
+
+@query(f"WITH {D} SELECT doc_id, id, substr(sha256(text), 1, 16) AS hash FROM d")
+def doc_ids_hash(spark, sf_dir):
+    return samples.cku(spark, sf_dir).select("doc_id", "id", F.col("meta.hash").alias("hash"))
+
+
+@query(f"SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines, length(text) - length(replace(text, chr(10), '')) + 1 > {MAX_LINES} AS needs_split FROM documents")
+def doc_needs_split(spark, sf_dir):
+    return samples.documents(spark, sf_dir).select("doc_id", T.line_count(F.col("text")).cast("long").alias("n_lines"), split.needs_splitting(F.col("text"), MAX_LINES).alias("needs_split"))
+
+
+MARKED = "replace(text, chr(10) || 'T', chr(10) || '## T')"
+SECTIONS = f"s AS (SELECT doc_id, regexp_split_to_array({MARKED}, '(?:\\n)(?:## )') AS ps, {MARKED} AS x FROM documents), s2 AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i, len(ps) AS np FROM s), s3 AS (SELECT doc_id, i, CASE WHEN np = 1 THEN p WHEN i > 1 THEN '## ' || trim(p, chr(10) || chr(9) || chr(13) || ' ') ELSE trim(p, chr(10) || chr(9) || chr(13) || ' ') END AS p FROM s2), s4 AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS idx, p, length(p) - length(replace(p, chr(10), '')) + 1 AS n FROM s3 WHERE p <> '')"
+
+
+def marked(spark, sf_dir):
+    return samples.documents(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\nT"), F.lit("\n## T")))
+
+
+@query(f"WITH {SECTIONS} SELECT doc_id, idx, n AS n_lines, sha256(p) AS digest FROM s4")
+def heading_sections(spark, sf_dir):
+    s = marked(spark, sf_dir).select("doc_id", F.posexplode(split.heading_sections(F.col("text"))).alias("idx", "p"))
+    return s.select("doc_id", "idx", T.line_count(F.col("p")).cast("long").alias("n_lines"), F.sha2("p", 256).alias("digest"))
+
+
+@query(f"WITH RECURSIVE {SECTIONS}, w AS (SELECT doc_id, idx, n AS total, 0 AS chunk FROM s4 WHERE idx = 0 UNION ALL SELECT s4.doc_id, s4.idx, CASE WHEN w.total + s4.n > {MAX_LINES} THEN s4.n ELSE w.total + s4.n END, w.chunk + CASE WHEN w.total + s4.n > {MAX_LINES} THEN 1 ELSE 0 END FROM w JOIN s4 ON s4.doc_id = w.doc_id AND s4.idx = w.idx + 1) SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(max(total) AS BIGINT) AS n_lines FROM w GROUP BY doc_id, chunk")
+def greedy_pack(spark, sf_dir):
+    s = marked(spark, sf_dir).select("doc_id", F.posexplode(split.pack(split.heading_sections(F.col("text")), MAX_LINES)).alias("chunk", "c"))
+    return s.select("doc_id", "chunk", F.col("c.n").cast("long").alias("n_lines"))
+
+
+@query(f"WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), c AS (SELECT doc_id, unnest(range(0, CAST(floor((len(ls) - 1) / {MAX_LINES}) AS BIGINT) + 1)) AS chunk, ls FROM l) SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, sha256(array_to_string(ls[chunk * {MAX_LINES} + 1:chunk * {MAX_LINES} + {MAX_LINES}], chr(10))) AS digest FROM c")
+def line_chunks(spark, sf_dir):
+    return samples.documents(spark, sf_dir).select("doc_id", F.posexplode(split.line_blocks(F.col("text"), MAX_LINES)).alias("chunk", "c")).select("doc_id", "chunk", F.sha2("c", 256).alias("digest"))
+
+
+@query("SELECT doc_id, unnest(['alt=' || source || ', src=img/' || CAST(doc_id AS VARCHAR) || '.png', 'alt=, src=' || lang]) AS data FROM documents")
+def md_images(spark, sf_dir):
+    d = samples.documents(spark, sf_dir).withColumn("text", F.concat(F.lit("!["), "source", F.lit("](img/"), F.col("doc_id").cast("string"), F.lit(".png)\n"), "text", F.lit(" ![]("), "lang", F.lit(")")))
+    return d.select("doc_id", F.explode(split.markdown_images(F.col("text"))).alias("v")).select("doc_id", "v.data")
+
+
+# --- the map ---
+
+
+@query(f"WITH {D}, {N}, {E0}, {E} SELECT * FROM e")
+def entity_index(spark, sf_dir):
+    return kmap.entities(samples.cku(spark, sf_dir))
+
+
+@query(f"WITH {D}, {N}, {P} SELECT * FROM t")
+def topic_index(spark, sf_dir):
+    return kmap.topics(samples.cku(spark, sf_dir))
+
+
+@query(f"WITH {D}, {N}, {FA} SELECT 'f' || CAST(seq AS VARCHAR) AS id, cku_id, claim FROM f")
+def fact_index(spark, sf_dir):
+    return kmap.facts(samples.cku(spark, sf_dir))
+
+
+@query(f"WITH {D}, {N}, {E0}, {E} SELECT DISTINCT cku_id FROM e WHERE {LOW.format('name')} LIKE '%thing%'")
+def find_by_entity(spark, sf_dir):
+    return kmap.find_by_entity(kmap.entities(samples.cku(spark, sf_dir)), "Thing")
+
+
+@query(f"WITH {D}, {N}, {P} SELECT DISTINCT cku_id FROM t WHERE {LOW.format('topic')} LIKE '%src1%'")
+def find_by_topic(spark, sf_dir):
+    return kmap.find_by_topic(kmap.topics(samples.cku(spark, sf_dir)), "SRC1")
+
+
+@query(f"WITH {D}, {N}, {FA} SELECT cku_id, count(*) AS hits FROM (SELECT cku_id, {LINE.format('claim')} AS line FROM f) WHERE contains(line, ' the ') AND contains(line, ' and ') GROUP BY cku_id")
+def fts_and_hits(spark, sf_dir):
+    return kmap.find_by_keywords(kmap.facts_all(samples.cku(spark, sf_dir)), ["the", "and"])
+
+
+@query(f"WITH {D}, {N}, {E0}, {E}, {R} SELECT e.cku_id, e.name, r.relation_type, r.target FROM e JOIN r ON r.entity_id = e.id AND r.cku_id = e.cku_id WHERE {LOW.format('e.name')} LIKE '%the%'")
+def entity_relations(spark, sf_dir):
+    c = samples.cku(spark, sf_dir)
+    return kmap.relations_of(kmap.entities(c), kmap.entity_relations(c), "the")
+
+
+@query(f"WITH {D}, {N}, {E0}, {E} SELECT id, cku_id, name, type FROM e ORDER BY {LOW.format('name')}, name, cku_id, id")
+def all_entities(spark, sf_dir):
+    return kmap.all_entities(kmap.entities(samples.cku(spark, sf_dir)))
+
+
+@query(f"WITH {D}, {N}, {E0}, {E}, {R}, {P}, {FA} SELECT (SELECT count(*) FROM d) AS ckus, (SELECT count(*) FROM e) AS entities, (SELECT count(*) FROM f) AS facts, (SELECT count(*) FROM r) AS relations, (SELECT count(DISTINCT topic) FROM t) AS topics")
+def map_stats(spark, sf_dir):
+    return kmap.stats(samples.cku(spark, sf_dir))
+
+
+# --- routing ---
+
+
+@query(f"WITH {Q}, {K} SELECT qid, CAST(pos AS INTEGER) AS pos, kw FROM k")
+def keywords(spark, sf_dir):
+    return route.question_keywords(samples.questions(spark, sf_dir))
+
+
+@query(f"WITH {ROUTE} SELECT qid, rank, cku_id, score FROM top")
+def route_batch_topk(spark, sf_dir):
+    return routed(spark, sf_dir)
+
+
+@query(f"WITH {ROUTE.replace(Q, 'q AS (SELECT CAST(1 AS BIGINT) AS qid, ' + chr(39) + 'What is the thing of src1?' + chr(39) + ' AS question)')} SELECT qid, rank, cku_id, score FROM top")
+def route_single(spark, sf_dir):
+    _, e, t, f = tables(spark, sf_dir)
+    one = spark.createDataFrame([(1, "What is the thing of src1?")], "qid long, question string")
+    return route.top(route.scores(one, e, t, f))
+
+
+@query(f"WITH {ROUTE} SELECT qid, rank, cku_id FROM top JOIN d ON d.id = top.cku_id WHERE doc_id % 3 = 2 OR doc_id % 3 = 1")
+def access_filter(spark, sf_dir):
+    access = samples.cku(spark, sf_dir).select(F.col("id").alias("cku_id"), F.col("meta.access.roles").alias("roles"))
+    return route.allowed(routed(spark, sf_dir).withColumn("role", F.lit("admin")), access).select("qid", "rank", "cku_id")
+
+
+CONTEXT = f"""{ROUTE},
+c AS (SELECT qid, rank, path, '- ' || sentences[1] || ' [Source: ' || path || ']' AS s, list_transform(sentences, lambda x, i: '- ' || x || ' (p.' || CAST((i - 1) % 7 AS VARCHAR) || ') [Source: ' || path || ']') AS fs FROM top JOIN n ON n.id = top.cku_id),
+x AS (SELECT qid, array_to_string(list_concat(['## Relevant Summaries'], list(s ORDER BY rank), [chr(10) || '## Relevant Facts'], flatten(list(fs ORDER BY rank))), chr(10)) AS prompt, array_to_string(list(path ORDER BY rank), ',') AS sources FROM c GROUP BY qid)"""
+
+
+@query(f"WITH {CONTEXT} SELECT qid, sha256(prompt) AS digest, CAST(length(prompt) AS INTEGER) AS n FROM x")
+def prompt_context(spark, sf_dir):
+    return route.assemble(routed(spark, sf_dir), samples.cku(spark, sf_dir)).select("qid", F.sha2("prompt", 256).alias("digest"), F.length("prompt").alias("n"))
+
+
+@query(f"WITH {CONTEXT} SELECT qid, sources FROM x")
+def sources_distinct(spark, sf_dir):
+    return route.assemble(routed(spark, sf_dir), samples.cku(spark, sf_dir)).select("qid", F.array_join("sources", ",").alias("sources"))
+
+
+@query(r"SELECT doc_id, CAST(floor(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) / 0.75) AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return samples.documents(spark, sf_dir).select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+
+
+# --- records ---
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 4 = 0 OR doc_id % 4 = 1")
+def incremental_stale(spark, sf_dir):
+    c = samples.cku(spark, sf_dir)
+    files = c.select("doc_id", F.col("meta.source").alias("source"), F.when(F.col("doc_id") % 4 == 1, F.lit("changed")).otherwise(F.col("meta.hash")).alias("hash"))
+    return records.stale(files, c.where("doc_id % 4 <> 0")).select("doc_id")
+
+
+CHUNKS = "c AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS chunk, doc_id, lang, text FROM documents)"
+
+
+def chunks(spark, sf_dir):
+    """Documents as chunks of their source, in order of doc_id (row numbers of few rows each)."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", F.col("doc_id").alias("chunk"), "doc_id", "lang")
+
+
+@query("SELECT source, id, doc_id FROM (SELECT source, lang AS id, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rn FROM documents WHERE doc_id % 5 <> 0) WHERE rn = 1 UNION ALL SELECT source, '' AS id, doc_id FROM documents WHERE doc_id % 5 = 0")
+def merge_sections_first_wins(spark, sf_dir):
+    rows = chunks(spark, sf_dir).withColumn("id", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("lang"))).withColumn("pos", F.lit(0))
+    return records.first_wins(rows).select("source", "id", "doc_id")
+
+
+@query("WITH c AS (SELECT source, lang AS id, doc_id AS chunk, unnest([{'t': 'a', 'k': 0}, {'t': 'a', 'k': 1}, {'t': CAST(doc_id % 3 AS VARCHAR), 'k': 2}]) AS r FROM documents), f AS (SELECT source, id, min(chunk) AS first FROM c GROUP BY source, id), x AS (SELECT *, row_number() OVER (PARTITION BY source, id, r.t ORDER BY chunk, r.k) AS rn FROM c JOIN f USING (source, id)) SELECT source, id, r.t AS target, 'rel' AS type FROM x WHERE chunk = first OR rn = 1")
+def merge_entities_relations(spark, sf_dir):
+    rel = F.array(*[F.struct(t.alias("target"), F.lit("rel").alias("type")) for t in (F.lit("a"), F.lit("a"), (F.col("doc_id") % 3).cast("string"))])
+    return records.merged_relations(chunks(spark, sf_dir).select("source", "chunk", F.lit(0).alias("pos"), F.col("lang").alias("id"), rel.alias("relations")))
+
+
+@query("SELECT source, language FROM (SELECT source, language, row_number() OVER (PARTITION BY source ORDER BY n DESC, first) AS rn FROM (SELECT source, coalesce(lang, 'en') AS language, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1, 2)) WHERE rn = 1")
+def merge_language_mode(spark, sf_dir):
+    return records.language_mode(chunks(spark, sf_dir).withColumnRenamed("lang", "language"))
+
+
+@query("WITH x AS (SELECT source, d, min(doc_id * 2 + k) AS seen FROM (SELECT source, doc_id, unnest([lang || '.md', CAST(doc_id % 7 AS VARCHAR)]) AS d, unnest([0, 1]) AS k FROM documents) GROUP BY source, d) SELECT source, string_agg(d, ',' ORDER BY seen) AS dependencies FROM x GROUP BY source")
+def merge_dependencies(spark, sf_dir):
+    rows = chunks(spark, sf_dir).withColumn("dependencies", F.array(F.concat("lang", F.lit(".md")), (F.col("doc_id") % 7).cast("string")))
+    return records.merged_dependencies(rows).select("source", F.array_join("dependencies", ",").alias("dependencies"))
+
+
+@query(f"WITH {D} SELECT id, issue FROM (SELECT id, unnest(['duplicate entity ids', 'entity a: unknown entity ' || lang, 'fact f: unknown entity ' || source, 'meta.hash is empty']) AS issue FROM d WHERE doc_id % 2 = 0)")
+def validate_refs(spark, sf_dir):
+    d = samples.cku(spark, sf_dir).where("doc_id % 2 = 0")
+    e = F.expr("array(named_struct('id', 'a', 'name', 'a', 'type', 'x', 'relations', array(named_struct('target', meta.language, 'type', 'r'), named_struct('target', 'a', 'type', 'r'))), named_struct('id', 'a', 'name', 'a', 'type', 'x', 'relations', CAST(array() AS array<struct<target: string, type: string>>)))")
+    f = F.expr("array(named_struct('id', 'f', 'claim', 'c', 'entities', array('a', split(meta.source, '/')[1])))")
+    meta = F.struct(F.col("meta.source").alias("source"), F.lit("").alias("hash"))
+    return records.issues(d.select("id", meta.alias("meta"), F.struct(F.lit("x").alias("document")).alias("summaries"), e.alias("entities"), f.alias("facts")))
+
+
+EVENTS = "(SELECT event_id AS id, CAST(ts AS VARCHAR) AS timestamp, event_type AS event, CAST(user_id AS VARCHAR) AS user, props AS details FROM events)"
+
+
+def audit(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.col("event_type").alias("event"), F.col("user_id").cast("string").alias("user"), F.col("props").alias("details"))
+
+
+@query("SELECT event_id AS id, event_type AS event, CAST(user_id AS VARCHAR) AS user, props AS details FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 50 OFFSET 10")
+def audit_list(spark, sf_dir):
+    return records.list_events(audit(spark, sf_dir), "error", 50, 10)
+
+
+@query("SELECT count(*) AS n FROM events WHERE event_type = 'error'")
+def audit_count(spark, sf_dir):
+    return records.count_events(audit(spark, sf_dir), "error")
+
+
+SCORED = "x AS (SELECT doc_id, lang AS category, text, [lang, source, 'the', 'der'] AS ks FROM documents), y AS (SELECT doc_id, category, CAST(len(list_filter(ks, lambda k: contains(lower(text), lower(k)))) AS DOUBLE) / len(ks) AS score FROM x)"
+
+
+def scored(spark, sf_dir):
+    d = samples.documents(spark, sf_dir)
+    return d.select("doc_id", F.col("lang").alias("category"), T.keyword_score(F.col("text"), F.array("lang", "source", F.lit("the"), F.lit("der"))).alias("keyword_score"))
+
+
+@query(f"WITH {SCORED} SELECT doc_id, score AS keyword_score FROM y")
+def keyword_score(spark, sf_dir):
+    return scored(spark, sf_dir).select("doc_id", "keyword_score")
+
+
+@query(f"WITH {SCORED} SELECT category, count(*) AS n, sum(score) / count(*) AS avg_score FROM y GROUP BY category")
+def category_means(spark, sf_dir):
+    return records.category_scores(scored(spark, sf_dir))
+
+
+@query("SELECT CASE WHEN doc_id % 4 = 0 THEN 'compiled' ELSE 'skipped' END AS status, count(*) AS n FROM documents GROUP BY 1")
+def compile_status_counts(spark, sf_dir):
+    c = samples.cku(spark, sf_dir)
+    files = c.select(F.col("meta.source").alias("source"), F.col("meta.hash").alias("hash"))
+    changed = records.stale(files, c.where("doc_id % 4 <> 0")).withColumn("status", F.lit("compiled"))
+    return files.join(changed.select("source", "status"), "source", "left").groupBy(F.coalesce("status", F.lit("skipped")).alias("status")).agg(F.count("*").alias("n"))
