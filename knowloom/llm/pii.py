@@ -98,6 +98,10 @@ TRAINING = (
     "dial {phone: (415) 555-0132} now",
     "the and {phone: +1 (262) 555-3752} of the",
     "text {phone: 415.555.0199} any time",
+    "write or {phone: (262) 555-3752} here",
+    "and {phone: (415) 555-0132} too",
+    "sand ertio {phone: (312) 555-0178} onan the",
+    "see (12) and (a) of part (3) above",
     "server {ip: 192.168.10.24} did not answer",
     "from {ip: 10.0.0.7} to {ip: 172.16.254.3} in 12 ms",
     "login at {ip: 81.226.233.170} failed 5 times",
@@ -211,7 +215,7 @@ def labelled(row: str) -> tuple[list[str], list[int]]:
 
 
 @lru_cache(1)
-def train(rows: tuple[str, ...] = TRAINING, steps: int = 150, rate: float = 0.15, l2: float = 0.02) -> Field:
+def train(rows: tuple[str, ...] = TRAINING, steps: int = 200, rate: float = 0.15, l2: float = 0.02) -> Field:
     """Maximum likelihood with an L2 prior, by full-batch gradient steps (Adam); forbidden moves stay at -1e4."""
     data = [labelled(r) for r in rows]
     index: dict[str, int] = {}
@@ -280,10 +284,7 @@ def train(rows: tuple[str, ...] = TRAINING, steps: int = 150, rate: float = 0.15
 
 
 def stretches(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
-    """Tokens, with their places, of each stretch of up to CONTEXT tokens around triggers.
-
-    Tokens are found near triggers only. A stretch starts and ends at white space.
-    """
+    """Tokens, with their places, of each stretch of triggers with CONTEXT tokens around them; nearer triggers share one."""
     done = 0
     for m in TRIGGER.finditer(text):
         if m.start() < done:
@@ -305,8 +306,10 @@ def stretches(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
             calm = 0 if hot else calm + started
             tokens.append(t[0])
             places.append(t.span())
-            if calm >= CONTEXT or len(tokens) >= CHUNK:
+            if calm >= 2 * CONTEXT or len(tokens) >= CHUNK:
                 break
+        if calm > CONTEXT:  # the rest may be the context of a next trigger
+            del tokens[CONTEXT - calm :], places[CONTEXT - calm :]
         if not tokens:
             continue
         done = places[-1][1]
