@@ -20,7 +20,10 @@ def cku(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\p{Lu}\p{Ll}{4,})"), F.lit(1))))
     sentences = F.filter(F.transform(F.split("text", r"[.\n]+"), lambda x: F.trim(x)), lambda x: x != "")
     d = d.select("*", names.alias("names"), sentences.alias("sentences"))
-    following = F.transform("names", lambda n, i: F.struct(F.lower(n).alias("id"), n.alias("name"), F.col("source").alias("type"), F.when(i + 1 < F.size("names"), F.array(F.struct(F.lower(F.try_element_at("names", i + 2)).alias("target"), F.lit("next").alias("type")))).otherwise(F.array().cast("array<struct<target:string,type:string>>")).alias("relations")))
+    # pairs of neighbours by zip: an index into names inside the lambda would extract the names anew for each element
+    none = F.array().cast("array<struct<target:string,type:string>>")
+    relation = lambda m: F.when(m.isNotNull(), F.array(F.struct(F.lower(m).alias("target"), F.lit("next").alias("type")))).otherwise(none)
+    following = F.zip_with("names", F.slice("names", 2, 1 << 30), lambda n, m: F.struct(F.lower(n).alias("id"), n.alias("name"), F.col("source").alias("type"), relation(m).alias("relations")))
     roles = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("hr"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("admin"), F.lit("hr"))).otherwise(F.array().cast("array<string>"))
     facts = F.transform("sentences", lambda s, i: F.struct(F.concat(F.lit("f"), i.cast("string")).alias("id"), s.alias("claim"), F.struct((i % 7).alias("page"), F.lit(None).cast("string").alias("section")).alias("source"), F.lit(1.0).alias("confidence"), F.array().cast("array<string>").alias("entities")))
     return d.select(
