@@ -27,10 +27,10 @@ from ..cluster import ship
 from .common import Scratch
 
 SAMPLE_ROWS = 4000
-MIN_COUNT = 3
+MIN_COUNT = 4
 MAX_ORDER = 5
 ALPHA = 0.2
-CACHE = 200_000
+CACHE = 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -82,23 +82,24 @@ class Model:
         self.langs, self.features, self.cache = langs, features, {}
 
     @cached_property
-    def tables(self) -> list[dict[str, np.ndarray]]:
+    def tables(self) -> tuple[list[dict[str, int]], np.ndarray]:
+        """By kind, a feature's row in the matrix of log frequencies."""
         kinds, names = self.features.column("kind").to_numpy(), self.features.column("feature")
         counts = np.stack([self.features.column(f"n{i}").to_numpy() for i in range(len(self.langs))], axis=1).astype(np.float32)
-        out = []
+        out, logs = [], np.empty_like(counts)
         for kind in range(MAX_ORDER + 1):
             rows = np.flatnonzero(kinds == kind)
-            part = counts[rows]
-            logs = (np.log(part + ALPHA) - np.log(part.sum(axis=0) + ALPHA * max(1, len(rows)))).astype(np.float32)
-            out.append(dict(zip(names.take(pa.array(rows)).to_pylist(), logs, strict=True)))
-        return out
+            logs[rows] = np.log(counts[rows] + ALPHA) - np.log(counts[rows].sum(axis=0) + ALPHA * max(1, len(rows)))
+            out.append(dict(zip(names.take(pa.array(rows)).to_pylist(), rows.tolist(), strict=True)))
+        return out, logs
 
     def word(self, w: str) -> np.ndarray:
-        if (v := self.tables[0].get(w)) is not None:
-            return v
+        rows, logs = self.tables
+        if (v := rows[0].get(w)) is not None:
+            return logs[v]
         for order in range(MAX_ORDER, 0, -1):
-            if found := [v for g in grams(w, order) if (v := self.tables[order].get(g)) is not None]:
-                return np.mean(found, axis=0, dtype=np.float64).astype(np.float32)
+            if found := [v for g in grams(w, order) if (v := rows[order].get(g)) is not None]:
+                return logs[found].mean(axis=0, dtype=np.float64).astype(np.float32)
         return np.zeros(len(self.langs), np.float32)
 
     def __call__(self, text: str | None) -> tuple[str, float]:

@@ -39,7 +39,7 @@ BUCKET_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 512, 256, 500_000
 SEED = 11
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans(ASCII_UPPER, ASCII_LOWER)
-CACHE = 300_000
+CACHE = 150_000
 U64 = np.uint64
 
 
