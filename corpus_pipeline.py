@@ -25,9 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if not model.langs:
         return docs
     own = tuple(docs.columns)
-    judged = langid.predict(docs.select(*own), model, keep=own)
-    said, score = judged.columns[-2:]
-    return judged.toDF(*own, "__said", "__score").where((F.col("__said") != langid.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*own) if (said, score) else docs
+    judged = langid.predict(docs, model, keep=own).toDF(*own, "__said", "__score")
+    return judged.where((F.col("__said") != langid.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*own)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
