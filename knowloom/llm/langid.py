@@ -27,7 +27,7 @@ from ..cluster import ship
 from .common import Scratch
 
 SAMPLE_ROWS = 4000
-MIN_COUNT = 4
+MIN_COUNT = 3
 MAX_ORDER = 5
 ALPHA = 0.2
 CACHE = 100_000
