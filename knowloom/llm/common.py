@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,7 +93,7 @@ def with_ids_among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The rows of df whose key is among ids (one column), and a few others whose hash falls together with one.
 
     A filter before a join: df's rows are not shuffled. The ids become a bitmap of BITMAP_BITS hashed bits in 4 KB
-    pieces, 8 MB at most whatever their number, which is broadcast; with very many ids it just lets more rows through.
+    pieces, 16 MB at most as a broadcast table whatever their number; with very many ids it just lets more rows through.
     """
     hashed = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(BITMAP_BITS))
     pieces = ids.select(hashed.alias("h")).groupBy(F.floor(F.col("h") / 32768).alias("__piece")).agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("__bits"))
@@ -106,16 +107,17 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)
 
 
-def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 40) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """Connected components of edges (a, b): a table (node, label), label being the smallest node.
 
     Alternates the two star operations of Kiveris et al. (2014): each shuffle is keyed by a node, groups are
-    reduced to their minimum before the shuffle, and hot nodes are joined by broadcast. Only counts reach the driver.
+    reduced to their minimum before the shuffle, and hot nodes are joined by broadcast. Only a count and two hashes reach
+    the driver each round; the rounds end when the edges stay as they are. Nodes may be any 64-bit numbers.
     """
     edges = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    state = F.count("*"), F.sum("b"), F.sum("a"), F.bit_xor(F.xxhash64("a", "b"))
+    state = F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64(F.lit(1), "a", "b"))
     seen = edges.agg(*state).first()
-    for k in range(1, rounds + 1):
+    for k in count(1):
         total = seen[0]  # neither star has more rows
         if not total:
             break

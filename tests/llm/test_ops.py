@@ -61,6 +61,13 @@ def test_components(spark, scratch):
     assert common.components(scratch(), spark.createDataFrame([], "a long, b long"), "e").count() == 0
 
 
+def test_components_of_very_large_and_negative_ids(spark, scratch):
+    big = 2**62
+    edges = [(big + 1, big), (big + 2, big + 1), (big + 3, big + 2), (-big, -big - 7), (-big - 9, -big)]
+    got = {r.node: r.label for r in common.components(scratch(), spark.createDataFrame(edges, "a long, b long"), "b").collect()}
+    assert got == {**{big + i: big for i in (1, 2, 3)}, -big: -big - 9, -big - 7: -big - 9}
+
+
 def test_join_hot_is_a_join(spark, monkeypatch):
     left = spark.createDataFrame([(k % 7 if k < 3000 else 99, k) for k in range(9000)], "k long, v long")
     right = left.where("k <> 5").groupBy("k").agg(F.min("v").alias("m"), F.count("*").alias("n"))
