@@ -9,8 +9,9 @@ Score: each restored word has the evidence of its strongest feature (the word, o
 shrunk log ratio of document rates in the two classes. A logistic model maps the strongest and the summed evidence
 of a document's words to a probability. A ratio counts only where it is unlikely by chance.
 
-Fit on a bounded sample of labelled rows: all up to SAMPLE_ROWS, else about that many by a hash of the id. Feature
-counts are made in distributed form; the model keeps features of MIN_DOCS documents or more that point to label 1.
+The trigrams are counted over all texts, labelled or not, in distributed form. Label evidence and weights are fitted on
+a bounded sample of labelled rows: all up to SAMPLE_ROWS, else about that many by a hash of the id; the model keeps
+features of MIN_DOCS documents or more that point to label 1.
 
 Cases: null, empty and wordless texts have no evidence and the score of the intercept; rows without label or text are
 not learned from; without rows of both labels every score is the rate of label 1 (0 without any); a null doc_id is not
@@ -47,6 +48,7 @@ EDGES = " \t\r\n.,;:?\"'()[]{}<>«»„“”…"
 NOISE = re.compile(r"([!@#$%&*+|])\1+$|[&%*#!]$")
 RUN = re.compile(r"(\w)\1\1")
 LETTER = re.compile(r"[^\W\d_]")
+LETTERS = re.compile(r"[^\W\d_]+")
 PLAIN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\Z")
 SPACED = re.compile(r"(?<!\S)\S(?:[ ]\S){2,}(?!\S)")
 
@@ -76,13 +78,20 @@ class Spelling:
 def spelling_counts(words: Counter) -> Counter:
     """n-grams of the words; contexts are marked h."""
     out: Counter = Counter()
-    for w, n in words.items():
-        s = f"^^{w}$"
-        for i in range(2, len(s)):
-            out[s[i]] += n
-            for k in (1, 2):
-                out[s[i - k : i + 1]] += n
-                out["h" + s[i - k : i]] += n
+    if not words:
+        return out
+    codes = np.frombuffer("".join(f"^^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 3
+    inside = np.ones(len(codes), bool)
+    starts = np.cumsum(lengths) - lengths
+    inside[starts] = inside[starts + 1] = False
+    at = np.flatnonzero(inside)
+    keys, place = np.unique(codes[at - 2] << 42 | codes[at - 1] << 21 | codes[at], return_inverse=True)
+    times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), lengths - 2)
+    for key, n in zip(keys.tolist(), np.bincount(place, times).astype(np.int64).tolist(), strict=True):
+        a, b, c = (chr(key >> k & 0x1FFFFF) for k in (42, 21, 0))
+        for g in (c, b + c, a + b + c, "h" + b, "h" + a + b):
+            out[g] += n
     return out
 
 
@@ -205,21 +214,32 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.01) -> np.ndarray:
     return w
 
 
-def fit(rows: DataFrame, limit: int = SAMPLE_ROWS) -> Model:
-    """A model of rows (doc_id, text, toxic)."""
-    spark = ship(rows.sparkSession)
-    rows = sample(rows.where("text IS NOT NULL AND toxic IN (0, 1) AND doc_id IS NOT NULL"), limit).select("text", "toxic")
+def spelling_of(texts: DataFrame) -> dict[str, int]:
+    """Trigram counts of all texts (text)."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            counts = spelling_counts(Counter({w: n for w, n in words.items() if len(w) <= LONGEST and not RUN.search(w)}))
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
+
         words: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words.update({t for t in re.findall(r"[^\W\d_]+", text.lower()) if len(t) <= LONGEST and not RUN.search(t)})
-        counts = spelling_counts(words)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
+                words.update(set(LETTERS.findall(text.lower())))
+                if len(words) > CACHE:
+                    yield counted()
+        yield counted()
 
-    grams = rows.mapInArrow(spell, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    spelling = dict(zip(grams.column(0).to_pylist(), grams.column(1).to_pylist(), strict=True))
+    grams = texts.where("text IS NOT NULL").select("text").mapInArrow(spell, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(grams.column(0).to_pylist(), grams.column(1).to_pylist(), strict=True))
+
+
+def fit(rows: DataFrame, limit: int = SAMPLE_ROWS, texts: DataFrame | None = None) -> Model:
+    """A model of rows (doc_id, text, toxic); its spelling is that of all texts (text), or of all rows."""
+    spark = ship(rows.sparkSession)
+    spelling = spelling_of(rows if texts is None else texts)
+    rows = sample(rows.where("text IS NOT NULL AND toxic IN (0, 1) AND doc_id IS NOT NULL"), limit).select("text", "toxic")
     sent = spark.sparkContext.broadcast(spelling)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,5 +306,5 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     # labels go to their texts by id: only the sampled ones, counted to be few, so that no text is shuffled for them
     chosen = sample(labels.where((fold("doc_id", 5) != 0) & F.col("toxic").isNotNull()).select("doc_id", "toxic"), SAMPLE_ROWS)
     texts = docs.join(bounded(chosen), "doc_id").select("doc_id", "text", "toxic")
-    model = fit(Scratch(spark, "toxicity").keep(texts, "sample"))
+    model = fit(Scratch(spark, "toxicity").keep(texts, "sample"), texts=docs)
     return scores(docs, model, ("doc_id", "held_out"))

@@ -336,6 +336,15 @@ def test_obfuscated_words_are_restored(spark):
     assert toxicity.fit(spark.createDataFrame([], "doc_id long, text string, toxic int"))("x") < 0.5
 
 
+def test_spelling_is_counted_over_all_texts(spark):
+    plain = [w for w in VOCAB if not toxicity.RUN.search(w)]
+    rows = [(i, f"{plain[i]} idiot" if i % 2 else plain[i], i % 2) for i in range(300)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs = make(spark, [(i, t, "en", "a") for i, t, _ in rows] + [(900, "qxqz", "en", "a"), (901, None, "en", "a")])
+    assert toxicity.fit(labelled, limit=20, texts=docs).spelling == dict(toxicity.spelling_counts(Counter(w for _, t, *_ in docs.collect() for w in set((t or "").split()))))
+    assert toxicity.fit(labelled, limit=20).spelling == dict(toxicity.spelling_counts(Counter(w for _, t, _ in rows for w in set(t.split()))))
+
+
 # --- 8 near duplicates ---
 
 
