@@ -3,7 +3,8 @@
 Channel: a symbol may stand for the letters it resembles, a repeated letter for one or two of it, and a separator
 between single letters for nothing. Each odd token is a lattice of such readings; Viterbi finds the likeliest under a
 character trigram model. A plain token has one reading, itself, so it is not decoded. Spaced-out words are found as
-runs of single characters and decoded as one token.
+runs of single characters and decoded as one token, and again with word breaks in the lattice, as are tokens of more
+than LONGEST runs of a character. The lattice is as long as the token, so nothing is cut.
 
 Score: each restored word has the evidence of its strongest feature (the word, or its first 4, 5 or 6 letters), a
 shrunk log ratio of document rates in the two classes. A logistic model maps the strongest and the summed evidence
@@ -43,13 +44,14 @@ LONGEST = 64
 #: What symbols may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "%": "x", "*": "aeiou", "#": "h"}
 SEPARATORS = frozenset("._-~ '`·*+")
-SYMBOL_COST, REPEAT_COST, DROP_COST = 0.7, 0.2, 0.3
+SYMBOL_COST, REPEAT_COST, DROP_COST, BREAK_COST = 0.7, 0.2, 0.3, 0.3
 EDGES = " \t\r\n.,;:?\"'()[]{}<>«»„“”…"
 NOISE = re.compile(r"([!@#$%&*+|])\1+$|[&%*#!]$")
 RUN = re.compile(r"(\w)\1\1")
 LETTER = re.compile(r"[^\W\d_]")
 LETTERS = re.compile(r"[^\W\d_]+")
 PLAIN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\Z")
+CHAIN = re.compile(r"(?<![^\W\d_])[^\W\d_](?:['’-][^\W\d_]){2,}(?![^\W\d_])")
 SPACED = re.compile(r"(?<!\S)\S(?:[ ]\S){2,}(?!\S)")
 
 
@@ -106,14 +108,15 @@ def readings(c: str) -> list[tuple[str, float]]:
     return out
 
 
-def decode(token: str, lm: Spelling) -> str:
+def decode(token: str, lm: Spelling, breaks: bool = False) -> str:
     """The likeliest word behind token, by Viterbi over states (the two letters before); '' if it has no letter at all.
 
-    A run of one character reads as one of it at REPEAT_COST for each further one, or as itself up to twice.
+    A run of one character reads as one of it at REPEAT_COST for each further one, or as itself up to twice. With
+    breaks a word may end after any letter at BREAK_COST, so the words are given with spaces between them.
     """
-    runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", token, re.S)]
+    chars = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", token, re.S)]
     states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
-    for c, n in runs:
+    for c, n in chars:
         new: dict[str, tuple[float, tuple | None]] = {}
         for before, (cost, path) in states.items():
             for letter, price in readings(c):
@@ -124,8 +127,12 @@ def decode(token: str, lm: Spelling) -> str:
                         h, p = h[1:] + x, (p, x)
                     if h not in new or total < new[h][0]:
                         new[h] = (total, p)
+        if breaks:
+            ends = [(cost - lm.log(h, "$") + BREAK_COST, path) for h, (cost, path) in new.items() if h[1] != "^"]
+            if ends and ((end := min(ends, key=lambda x: x[0]))[0] < new.get("^^", (math.inf,))[0]):
+                new["^^"] = (end[0], (end[1], " "))
         states = new
-    best = min(((cost - lm.log(h, "$"), path) for h, (cost, path) in states.items()), key=lambda x: x[0])[1]
+    best = min(((cost - lm.log(h, "$") * (h != "^^" or not breaks), path) for h, (cost, path) in states.items()), key=lambda x: x[0])[1]
     out = []
     while best is not None:
         best, x = best
@@ -133,6 +140,11 @@ def decode(token: str, lm: Spelling) -> str:
     return "".join(reversed(out))
 
 
+def runs(token: str) -> int:
+    """Runs of one character in token."""
+    return sum(a != b for a, b in zip(token, token[1:], strict=False)) + 1
+
+
 class Restorer:
     """Tokens of a text to the set of its words, odd ones restored."""
 
@@ -151,24 +163,29 @@ class Restorer:
         if not t or not LETTER.search(t):
             if not t or not any(c in LEET for c in t) or len(t) > 12 or t.isdigit():
                 return ()
-        if PLAIN.match(t) and not RUN.search(t):
+        if PLAIN.match(t) and not RUN.search(t) and not CHAIN.search(t):
             return (t,)
-        if len(t) > LONGEST:  # no word is as long: pieces of a chain are words themselves
-            return tuple(x for p in re.split(r"[^\w@$!|]+", t) if p and p != t for x in self.restored(p[:LONGEST] if len(p) > LONGEST else p))
+        if runs(t) > LONGEST:  # no word is as long: pieces of a chain are words themselves, and the whole may hold several
+            pieces = (p for p in re.split(r"[^\w@$!|]+", t) if p and p != t)
+            return tuple(sorted({x for p in pieces for x in self.restored(p)} | self.several(t)))
         got = decode(t, self.lm)
         parts = {got, *re.findall(r"[^\W\d_]{2,}", t)} if got else set(re.findall(r"[^\W\d_]{2,}", t))
         return tuple(sorted(parts))
 
+    def several(self, token: str) -> set[str]:
+        """The words of a token that may hold more than one."""
+        return set(decode(token, self.lm, breaks=True).split())
+
     def __call__(self, text: str | None) -> set[str]:
         if not text:
             return set()
         low = text.lower()
-        tokens = set(low.split())
-        out = {w for t in tokens for w in self.word(t)}
-        if sum(len(t) == 1 for t in tokens) >= 3:
-            for m in SPACED.finditer(low):
-                joined = m[0].replace(" ", "")
-                out.update(self.word(joined) if len(joined) <= LONGEST else ())
+        out = {w for t in set(low.split()) for w in self.word(t)}
+        for m in SPACED.finditer(low):
+            joined = m[0].replace(" ", "")
+            out.update(self.word(joined))
+            if LETTER.search(joined):
+                out |= self.several(joined)
         return out
 
 

@@ -336,6 +336,23 @@ def test_obfuscated_words_are_restored(spark):
     assert toxicity.fit(spark.createDataFrame([], "doc_id long, text string, toxic int"))("x") < 0.5
 
 
+def test_long_and_short_obfuscation_is_read():
+    r = random.Random(12)
+    plain = [w for w in VOCAB if not toxicity.RUN.search(w)]
+    restore = toxicity.Restorer(dict(toxicity.spelling_counts(Counter({w: 3 for w in plain} | {"idiot": 900, "ass": 900, "poop": 900}))))
+    assert "ass" in restore("a s s") and "poop" in restore("p o o p")
+    assert "idiot" in restore("idi" + "o" * 200 + "t") and "idiot" in restore("you 1d" + "1" * 80 + "0t")
+    found = Counter()
+    for _ in range(60):
+        words = r.sample(plain, 30)
+        words[10] = "idiot"
+        joined = "".join(words)
+        for kind, text in (("spaced", " ".join(joined)), ("chain", "-".join(joined)), ("leet", "".join(words).replace("idiot", "1d10t"))):
+            found[kind] += "idiot" in restore(text)
+    assert min(found[k] for k in ("spaced", "chain", "leet")) >= 48, found
+    assert len(restore(" ".join("ab" * 50_000))) >= 1
+
+
 def test_spelling_is_counted_over_all_texts(spark):
     plain = [w for w in VOCAB if not toxicity.RUN.search(w)]
     rows = [(i, f"{plain[i]} idiot" if i % 2 else plain[i], i % 2) for i in range(300)]
