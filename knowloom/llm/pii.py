@@ -2,11 +2,11 @@
 
 The field labels tokens with O, and B-/I- of four kinds, from word-shape features of a token and its neighbours. It
 is trained by gradient ascent on a small labelled table that is written down below, and decoded by Viterbi in numpy
-batches. Only stretches of a text near a trigger (a token with a digit or an @) can hold personal data; all other
-tokens are O by constraint, so stretches are decoded apart, which gives the same labels as the whole chain would.
+batches. Only stretches of a text near a trigger (a token with a digit, an @ or a word of CUES) can hold personal data;
+all other tokens are O by constraint. A stretch is decoded as one chain, however long; stretches are decoded apart.
 
-Cases: a null text is empty and has no spans; repeated rows are separate rows; texts of any length are decoded whole,
-in stretches of CHUNK tokens at most; an empty table gives no rows.
+Cases: a null text is empty and has no spans; repeated rows are separate rows; texts of any length are decoded whole;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from ..cluster import ship
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 CONTEXT = 3
-CHUNK = 512
+#: Steps of which the emissions are held at once; a batch of sequences has at most 256 times as many places.
+BLOCK = 512
 MASK = {k: f"<{k.upper()}>" for k in KINDS}
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,7 +38,10 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\W_]+(?:[._%+-][^\W_]+)*|\S")
-TRIGGER = re.compile(r"[0-9@]")
+CUES = frozenset("at dot mail email e-mail phone tel telefon call ring dial fax card visa ip host server version section page".split())
+#: Words that stand in no address; they trigger nothing.
+COMMON = frozenset("the a an this that my his her our its of on in and or to is was with for as by".split())
+TRIGGER = re.compile(r"[0-9@]|(?<![^\W_])(?:" + "|".join(sorted(CUES)) + r")(?![^\W_])", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -87,7 +91,13 @@ TRAINING = (
     "contact {email: j_doe+news@example.com} or call {phone: +1 (212) 555-0147} today",
     "mail {email: office@firma.example.de}, or {email: sales.team@shop.example.net}",
     "reach me under {email: maria @ example.com} after six",
-    "send it to {email: info at example dot org 2} now",
+    "send it to {email: info at example dot org} now",
+    "mail {email: maria.lopez at firma dot example dot de} or come by",
+    "we met at noon at the station and looked at the map",
+    "there is a dot on the page, call it a dot or ring me at home",
+    "he looked at a dot on the map and at this page of that section",
+    "come at once, they said at last, and it began at dawn",
+    "the server and the host are at the table near the card shop",
     "his address {email: k.lopez99@correo.example.es} is old",
     "{email: root@host1.example.com} wrote 3 times in 2019",
     "my number is {phone: +49 30 1234567} at work",
@@ -147,13 +157,10 @@ def token_features(token: str) -> list[str]:
     if token.count(".") == 3:
         out.append("three-dots")
     if digits == 0 and token.isalpha():
-        out.append(f"w={token.lower()}" if token.lower() in CUES else "w=other")
+        out.append(f"w={token.lower()}" if token.lower() in CUES | COMMON else "w=other")
     return out
 
 
-CUES = frozenset("at dot mail email e-mail phone tel telefon call ring dial fax card visa ip host server version section page".split())
-
-
 class Field:
     """Weights of the field. Features of a token: its own, and its neighbours' within one, marked by place."""
 
@@ -168,16 +175,18 @@ class Field:
             v = self.cache[token] = tuple(np.array([i for f in fs if (i := self.index.get(p + f)) is not None], np.int64) for p in ("-", "", "+"))
         return v
 
-    def scores(self, tokens: list[str]) -> np.ndarray:
-        """(tokens, labels)"""
-        out = np.zeros((len(tokens), len(LABELS)))
-        ids = [self.ids(t) for t in tokens]
-        for i in range(len(tokens)):
-            out[i] = self.emit[ids[i][1]].sum(axis=0)
+    def scores(self, tokens: list[str], lo: int, hi: int) -> np.ndarray:
+        """(tokens from lo to hi, labels)"""
+        out = np.zeros((hi - lo, len(LABELS)))
+        first = max(0, lo - 1)
+        ids = [self.ids(t) for t in tokens[first : hi + 1]]
+        for i in range(lo, hi):
+            at = i - first
+            out[i - lo] = self.emit[ids[at][1]].sum(axis=0)
             if i:
-                out[i] += self.emit[ids[i - 1][0]].sum(axis=0)
+                out[i - lo] += self.emit[ids[at - 1][0]].sum(axis=0)
             if i + 1 < len(tokens):
-                out[i] += self.emit[ids[i + 1][2]].sum(axis=0)
+                out[i - lo] += self.emit[ids[at + 1][2]].sum(axis=0)
         return out
 
     def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
@@ -185,15 +194,22 @@ class Field:
         if not sequences:
             return []
         lengths = np.array([len(s) for s in sequences])
-        emit = np.zeros((len(sequences), lengths.max(), len(LABELS)))
-        for k, s in enumerate(sequences):
-            emit[k, : len(s)] = self.scores(s)
-        best, back = emit[:, 0] + self.move[-1], np.zeros(emit.shape, np.int8)
-        for t in range(1, emit.shape[1]):
-            step = best[:, :, None] + self.move[None, :-1]
-            back[:, t] = step.argmax(axis=1)
-            new = step.max(axis=1) + emit[:, t]
-            best = np.where((t < lengths)[:, None], new, best)
+        longest = int(lengths.max())
+        back = np.zeros((len(sequences), longest, len(LABELS)), np.int8)
+        for lo in range(0, longest, BLOCK):
+            hi = min(longest, lo + BLOCK)
+            emit = np.zeros((len(sequences), hi - lo, len(LABELS)))
+            for k, s in enumerate(sequences):
+                if lo < len(s):
+                    emit[k, : min(hi, len(s)) - lo] = self.scores(s, lo, min(hi, len(s)))
+            for t in range(lo, hi):
+                if not t:
+                    best = emit[:, 0] + self.move[-1]
+                    continue
+                step = best[:, :, None] + self.move[None, :-1]
+                back[:, t] = step.argmax(axis=1)
+                new = step.max(axis=1) + emit[:, t - lo]
+                best = np.where((t < lengths)[:, None], new, best)
         out, last = [], best.argmax(axis=1)
         for k, n in enumerate(lengths):
             path = np.empty(n, np.int64)
@@ -306,7 +322,7 @@ def stretches(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
             calm = 0 if hot else calm + started
             tokens.append(t[0])
             places.append(t.span())
-            if calm >= 2 * CONTEXT or len(tokens) >= CHUNK:
+            if calm >= 2 * CONTEXT:
                 break
         if calm > CONTEXT:  # the rest may be the context of a next trigger
             del tokens[CONTEXT - calm :], places[CONTEXT - calm :]
@@ -340,8 +356,9 @@ def all_spans(texts: list[str | None], field: Field) -> list[tuple[list[tuple[in
             jobs.append((tokens, places))
             owner.append(k)
     order = sorted(range(len(jobs)), key=lambda i: len(jobs[i][0]))  # like lengths together, so padding is small
-    for lo in range(0, len(order), 256):
-        batch = order[lo : lo + 256]
+    while order:
+        n = max(1, min(256, 256 * BLOCK // len(jobs[order[-1]][0])))
+        batch, order = order[-n:], order[:-n]
         for i, labels in zip(batch, field.decode([jobs[i][0] for i in batch]), strict=True):
             out[owner[i]][1].extend(decoded(labels, jobs[i][1]))
     result = []
@@ -390,7 +407,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 def with_triggers():
     """The text, or null where it has no trigger at all and so no span: such texts need not reach Python."""
-    return F.when(F.col("text").rlike("[0-9@]"), F.col("text")).alias("text")
+    return F.when(F.col("text").rlike("(?iu)[0-9@]|" + "|".join(sorted(CUES))), F.col("text")).alias("text")
 
 
 def mask(docs: DataFrame) -> DataFrame:

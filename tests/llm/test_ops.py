@@ -252,6 +252,25 @@ def test_personal_data_query(spark):
     assert pii.find(empty(spark)).count() == 0
 
 
+def test_addresses_in_words_are_found(spark):
+    rows = [(1, "Please write to anna at shop dot example soon", "en", "a"), (2, "send it to info AT example DOT org today", "en", "a"), (3, "we looked at the dot on that page and then we left", "en", "a")]
+    spans = {r.doc_id: r.spans for r in pii.find(make(spark, rows)).collect()}
+    assert spans == {1: "email:16:40", 2: "email:11:34", 3: ""}
+    assert {r.doc_id: r.text for r in pii.mask(make(spark, rows)).collect()}[2] == "send it to <EMAIL> today"
+
+
+def test_long_stretches_are_decoded_as_one_chain():
+    field = pii.train()
+    for before in range(500, 516):
+        text = "see 7 " * (before // 2) + "call " * (before % 2) + "or (262) 555-3752 here " + "see 7 " * 400
+        at = text.index("(262)")
+        assert (at, 3, at + 14) in pii.all_spans([text], field)[0][1], before
+    tokens = pii.TOKEN.findall("or (262) 555-3752 and 1 2 3 " * 300)
+    whole = field.scores(tokens, 0, len(tokens))
+    assert all(np.allclose(field.scores(tokens, lo, lo + 100), whole[lo : lo + 100]) for lo in range(0, 1000, 100))
+    assert (field.decode([tokens, tokens[:40]])[0] == field.decode([tokens])[0]).all()
+
+
 def test_field_labels_its_training_table():
     field = pii.train()
     right = total = 0
