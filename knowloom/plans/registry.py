@@ -197,6 +197,46 @@ def sources_distinct(spark, sf_dir):
     return route.assemble(routed(spark, sf_dir), samples.cku(spark, sf_dir)).select("qid", F.array_join("sources", ",").alias("sources"))
 
 
+# the same five over whole turns; the SQL of those above asks with a turn's first words and stays as it is
+
+TURNS = "q AS (SELECT conv_id * 1000 + turn AS qid, text AS question FROM conversations WHERE role = 'user')"
+
+
+def whole(sql: str) -> str:
+    return sql.replace(Q, TURNS)
+
+
+def routed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, e, t, f = tables(spark, sf_dir)
+    return route.top(route.scores(samples.turns(spark, sf_dir), e, t, f))
+
+
+@query(whole(ORACLE_SQL["keywords"]))
+def keywords_turns(spark, sf_dir):
+    return route.question_keywords(samples.turns(spark, sf_dir))
+
+
+@query(whole(ORACLE_SQL["route_batch_topk"]))
+def route_batch_topk_turns(spark, sf_dir):
+    return routed_turns(spark, sf_dir)
+
+
+@query(whole(ORACLE_SQL["access_filter"]))
+def access_filter_turns(spark, sf_dir):
+    access = samples.cku(spark, sf_dir).select(F.col("id").alias("cku_id"), F.col("meta.access.roles").alias("roles"))
+    return route.allowed(routed_turns(spark, sf_dir).withColumn("role", F.lit("admin")), access).select("qid", "rank", "cku_id")
+
+
+@query(whole(ORACLE_SQL["prompt_context"]))
+def prompt_context_turns(spark, sf_dir):
+    return route.assemble(routed_turns(spark, sf_dir), samples.cku(spark, sf_dir)).select("qid", F.sha2("prompt", 256).alias("digest"), F.length("prompt").alias("n"))
+
+
+@query(whole(ORACLE_SQL["sources_distinct"]))
+def sources_distinct_turns(spark, sf_dir):
+    return route.assemble(routed_turns(spark, sf_dir), samples.cku(spark, sf_dir)).select("qid", F.array_join("sources", ",").alias("sources"))
+
+
 @query(r"SELECT doc_id, CAST(floor(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) / 0.75) AS BIGINT) AS tokens FROM documents")
 def token_estimate(spark, sf_dir):
     return samples.documents(spark, sf_dir).select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))

@@ -40,3 +40,9 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
     # the first words of a turn are the question
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("question"))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole user turn as a question."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question"))

@@ -1,9 +1,11 @@
 """The registered queries do the whole job: no ids, words or lengths are left out."""
 
 import os
+import re
 
 import pytest
 
+from knowloom.functions import text as T
 from knowloom.operators import records
 from knowloom.plans import registry, samples
 
@@ -20,3 +22,15 @@ def test_validate_refs_reads_all_documents(spark, monkeypatch):
     assert {r.id for r in seen[0].select("id").collect()} == ids
     even = {r.id for r in samples.cku(spark, SF).where("doc_id % 2 = 0").select("id").collect()}
     assert {r.id for r in found.collect()} == even
+
+
+def test_questions_are_whole_turns(spark):
+    turns = {r.conv_id * 1000 + r.turn: r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'user'").collect()}
+    assert any(len(t.split(" ")) > 4 for t in turns.values())
+    assert {r.qid: r.question for r in samples.turns(spark, SF).collect()} == turns
+    got = {}
+    for r in registry.QUERIES["keywords_turns"](spark, SF).collect():
+        got.setdefault(r.qid, []).append((r.pos, r.kw))
+    stop = set(T.STOPWORDS)
+    want = {q: list(enumerate(w for w in re.findall(r"\w+", t.lower()) if len(w) > 2 and w not in stop)) for q, t in turns.items()}
+    assert {q: sorted(ks) for q, ks in got.items()} == {q: ks for q, ks in want.items() if ks}
