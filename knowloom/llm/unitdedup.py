@@ -2,10 +2,11 @@
 
 A text's words are cut at every line break and before each word whose hash is the least within RADIUS words on either
 side of it. Cuts thus depend on nearby words only, so a passage gets the same units wherever it stands, also in the
-middle of another line; the words before its first and after its last cut are all that is lost of it. Units are
-normalised (case folded, white space collapsed) and hashed to 128 bits; digests are grouped over all documents; the
-occurrence with the least (doc_id, offset) is kept. A run of consecutive later occurrences is removed if it has
-MIN_WORDS words or more, so chance repeats of a few words stay.
+middle of another line. Units are normalised (case folded, white space collapsed) and hashed to 128 bits; digests are
+grouped over all documents; the occurrence with the least (doc_id, offset) is kept. A run of consecutive later
+occurrences is removed if it has MIN_WORDS words or more, so chance repeats of a few words inside lines stay; it is
+then extended word by word, on both sides, as far as the text where most of it occurs first says the same. A later
+occurrence of a whole line is removed whatever its length; its units are later occurrences too, so it lies in a run.
 
 Spans are code points of the original text, end exclusive.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_hot
+from .common import Scratch, join_hot, with_ids_among
 
 RADIUS = 4
 MIN_WORDS = 20
@@ -50,9 +52,13 @@ class Units:
         return at[(low.argmin(axis=1) == r)]
 
     def __call__(self, text: str | None) -> list[tuple[int, int, int, bytes]]:
-        out = []
+        return self.read(text)[0]
+
+    def read(self, text: str | None) -> tuple[list[tuple[int, int, int, bytes]], list[tuple[int, int, bytes]]]:
+        """Units, and lines of several units as (first unit, last unit, digest)."""
+        out, lines = [], []
         if not text:
-            return out
+            return out, lines
         known = self.known
         if len(known) > CACHE:
             known.clear()
@@ -72,50 +78,180 @@ class Units:
                 else:
                     places = [m.span() for m in TOKENS.finditer(line)]
                     spans = [(places[a][0], places[b - 1][1]) for a, b in zip(bounds, bounds[1:], strict=False)]
+                    lines.append((len(out), len(out) + len(cuts), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"), LINE_SEED)))
                 for (lo, hi), a, b in zip(spans, bounds, bounds[1:], strict=False):
                     out.append((offset + lo, offset + hi, b - a, xxhash.xxh3_128_digest(" ".join(words[a:b]).encode("utf-8", "surrogatepass"))))
             offset += len(line) + 1
-        return out
+        return out, lines
+
+
+#: What a row of units is: a piece of a line, a whole line that is one unit, a whole line of several units.
+PIECE, LINE, LINES = 0, 1, 2
+LINE_SEED = 1
 
 
 def unit_rows(radius: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("seq", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32()), ("digest", pa.binary())])
+    """Rows of units; before and after are the words of the neighbouring units, upto is a line's last unit."""
+    names = ("doc_id", "uid", "seq", "start", "stop", "words", "before", "after", "kind", "upto", "digest")
+    schema = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), *((n, pa.int32()) for n in names[2:-1]), ("digest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(radius)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                found = [units(t) for t in part.column(2).to_pylist()]
-                counts = [len(x) for x in found]
-                take = pa.array(np.repeat(np.arange(len(found)), counts))
-                seq = np.concatenate([np.arange(c) for c in counts]) if counts else np.empty(0)
-                flat = [u for x in found for u in x]
-                cols = list(zip(*flat, strict=True)) if flat else [[], [], [], []]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take).cast(pa.int64()), part.column(1).take(take), pa.array(seq, pa.int32()), *[pa.array(c, pa.int32()) for c in cols[:3]], pa.array(cols[3], pa.binary())], schema=schema
-                )
+                cols: list[list] = [[] for _ in names[2:]]
+                counts = []
+                for text in part.column(2).to_pylist():
+                    found, lines = units.read(text)
+                    counts.append(len(found) + len(lines))
+                    if not found:
+                        continue
+                    starts, stops, words, digests = map(list, zip(*found, strict=True))
+                    n = len(found)
+                    kinds = [LINE] * n
+                    for a, b, _ in lines:
+                        kinds[a : b + 1] = [PIECE] * (b - a + 1)
+                    firsts, lasts = [x[0] for x in lines], [x[1] for x in lines]
+                    none = [0] * len(lines)
+                    for col, own, more in zip(
+                        cols, (range(n), starts, stops, words, [0, *words[:-1]], [*words[1:], 0], kinds, range(n), digests),
+                        (firsts, [starts[a] for a in firsts], [stops[b] for b in lasts], none, none, none, [LINES] * len(lines), lasts, [x[2] for x in lines]), strict=True,
+                    ):
+                        col += own
+                        col += more
+                take = pa.array(np.repeat(np.arange(len(counts)), counts))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take).cast(pa.int64()), part.column(1).take(take), *[pa.array(c, pa.int32()) for c in cols[:-1]], pa.array(cols[-1], pa.binary())], schema=schema)
+
+    return run, "doc_id long, uid long, " + ", ".join(f"{n} int" for n in names[2:-1]) + ", digest binary"
+
 
-    return run, "doc_id long, uid long, seq int, start int, stop int, words int, digest binary"
+RUN = "uid long, doc_id long, span_start long, span_end long, words long, first_doc_id long, first_start long, l_uid long, l_first int, l_at int, l_inner int, l_need int, l_stop int, r_uid long, r_first int, r_at int, r_inner int, r_need int, r_stop int"
+
+
+def span_rows(radius: int, min_words: int):
+    """A document's later units and lines (uid, doc_id, us) to spans, those of long runs with the places to extend them from."""
+
+    def spans(us: list[dict]) -> Iterator[tuple]:
+        units = sorted((u for u in us if u["piece"]), key=lambda u: u["seq"])
+        lines = {q for u in us if u["line"] for q in range(u["seq"], u["upto"] + 1)}
+        runs: list[list[dict]] = []
+        for u in units:
+            if runs and runs[-1][-1]["seq"] + 1 == u["seq"]:
+                runs[-1].append(u)
+            else:
+                runs.append([u])
+        found: list[tuple[list[dict], bool]] = []
+        for run in runs:
+            if sum(u["words"] for u in run) >= min_words:
+                found.append((run, True))
+                continue
+            part: list[dict] = []
+            for u in [*run, None]:
+                if u is not None and u["seq"] in lines:
+                    part.append(u)
+                elif part:
+                    found.append((part, False))
+                    part = []
+        for k, (run, long) in enumerate(found):
+            row = [run[0]["start"], run[-1]["stop"], sum(u["words"] for u in run), run[0]["first_doc_id"], run[0]["first_start"]]
+            if not long:
+                yield (*row, *[None] * 12)
+                continue
+            shares: dict[int, int] = {}
+            for u in run:
+                shares[u["first_uid"]] = shares.get(u["first_uid"], 0) + u["words"]
+            source = max(shares, key=lambda x: (shares[x], -x))
+            own = [i for i, u in enumerate(run) if u["first_uid"] == source]
+            left, right = run[own[0]], run[own[-1]]
+            inner = sum(u["words"] for u in run[: own[0]]), sum(u["words"] for u in run[own[-1] + 1 :])
+            # cuts depend on radius words, so what is shared beyond a run ends within the next unit and as many words
+            yield (
+                *row, source, left["first_start"], left["start"], inner[0], inner[0] + run[0]["before"] + radius + 1, found[k - 1][0][-1]["stop"] if k else 0,
+                source, right["first_stop"], right["stop"], inner[1], inner[1] + run[-1]["after"] + radius + 1, found[k + 1][0][0]["start"] if k + 1 < len(found) else 2**31 - 1,
+            )
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64()] * 8 + [pa.int32()] * 5 + [pa.int64()] + [pa.int32()] * 5
+        names = [x.split()[0] for x in RUN.split(", ")]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                out = [(uid, doc, *x) for uid, doc, us in zip(*(c.to_pylist() for c in part.columns), strict=True) for x in spans(us)]
+                cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    return rows
+
+
+def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with places (uid, text, asked) to the words beyond each place, nearest first, and where each begins or ends."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 200):
+            out = []
+            for uid, text, asked in zip(*(c.to_pylist() for c in batch.slice(lo, 200).columns), strict=True):
+                for q in asked:
+                    at, need = q["at"], q["need"]
+                    if q["side"] == "l":
+                        head = text[:at].rsplit(None, need)
+                        found = list(TOKENS.finditer(text, len(head[0]) if len(head) > need else 0, at))[::-1]
+                        places = [m.start() for m in found]
+                    else:
+                        found = list(islice(TOKENS.finditer(text, at), need))
+                        places = [m.end() for m in found]
+                    out.append((f"{uid}{q['side']}{at}", [m[0].lower() for m in found], places))
+            cols = list(zip(*out, strict=True)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.list_(pa.string()), pa.list_(pa.int32())), strict=True)], names=["key", "said", "places"])
+
+
+def extended(runs: DataFrame, numbered: DataFrame, scratch: Scratch) -> DataFrame:
+    """Spans (RUN) with their ends moved out as far as the text of their source goes on alike."""
+    key = lambda uid, side, at: F.concat(F.col(uid).cast("string"), side, F.col(at).cast("string"))
+    side = lambda s: F.struct(F.lit(s).alias("side"), *[F.col(f"{s}_{c}").alias(c) for c in ("uid", "first", "at", "inner", "need", "stop")])
+    sides = runs.where("l_uid IS NOT NULL").select(F.col("uid").alias("own"), "span_start", F.explode(F.array(side("l"), side("r"))).alias("s")).select("own", "span_start", "s.*")
+    asked = sides.select(F.col("own").alias("uid"), "side", "at", "need", F.lit(0).alias("n")).unionByName(sides.select("uid", "side", F.col("first").alias("at"), "need", F.lit(1).alias("n")))
+    asked = asked.groupBy("uid", "side", "at").agg(F.max("need").alias("need"), F.sum("n").alias("n"))
+    asked = scratch.keep(asked, "asked")
+    by_text = asked.groupBy("uid").agg(F.collect_list(F.struct("side", "at", "need")).alias("asked"))
+    texts = with_ids_among(numbered.select("uid", "text"), "uid", asked.select("uid"))
+    context = scratch.keep(texts.join(by_text, "uid").select("uid", "text", "asked").mapInArrow(context_rows, "key string, said array<string>, places array<int>"), "context")
+    own = sides.withColumn("key", key("own", F.col("side"), "at")).join(context, "key").drop("key").withColumn("key", key("uid", F.col("side"), "first"))
+    theirs = context.join(asked.where("n > 0").select(key("uid", F.col("side"), "at").alias("key"), "n"), "key").select("key", F.col("said").alias("other"), "n")
+    met = join_hot(own, theirs, "key", "n", max(1, sides.count()))
+    same = F.array_position(F.zip_with("said", "other", lambda a, b: F.coalesce(a == b, F.lit(False))), F.lit(False))
+    matched = F.when(same == 0, F.least(F.size("said"), F.size("other"))).otherwise(same - 1).cast("int")
+    more = F.slice("places", F.col("inner") + 1, F.greatest(F.lit(0), matched - F.col("inner")))
+    more = F.filter(more, lambda x: F.when(F.col("side") == "l", x >= F.col("stop")).otherwise(x <= F.col("stop")))
+    met = met.select(F.col("own").alias("uid"), "span_start", "side", more.alias("more"))
+    ends = met.groupBy("uid", "span_start").agg(*[F.max(F.when(F.col("side") == s, F.col("more"))).alias(s) for s in "lr"])
+    # where a run's right end met the next one's left end, the words between go to the former
+    none = F.array().cast("array<int>")
+    found = runs.join(ends, ["uid", "span_start"], "left").withColumn("l", F.coalesce("l", none)).withColumn("r", F.coalesce("r", none))
+    found = found.withColumn("stop", F.coalesce(F.array_max("r").cast("long"), "span_end"))
+    found = found.withColumn("last", F.coalesce(F.lag("stop").over(Window.partitionBy("uid").orderBy("span_start")), F.lit(0).cast("long")))
+    found = found.withColumn("l", F.filter("l", lambda x: x >= F.col("last")))
+    return found.select(
+        "doc_id", "uid", F.coalesce(F.array_min("l").cast("long"), "span_start").alias("span_start"), F.col("stop").alias("span_end"),
+        (F.col("words") + F.size("l") + F.size("r")).alias("words"), "first_doc_id", "first_start",
+    )
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, radius: int = RADIUS, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs (doc_id, text): a row per span to remove: doc_id, uid, span_start, span_end, words, first_doc_id (that keeps its first unit), first_start."""
+    """docs (doc_id, text), read twice in the same order: a row per span to remove: doc_id, uid, span_start, span_end, words, first_doc_id (that keeps its first unit), first_start."""
     run, schema = unit_rows(radius)
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), "text")
     units = scratch.keep(numbered.mapInArrow(run, schema), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid", "start")
-    firsts = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = scratch.keep(firsts.select("digest", "n", F.col("first.doc_id").alias("first_doc_id"), F.col("first.uid").alias("first_uid"), F.col("first.start").alias("first_start")), "firsts")
-    later = join_hot(units, firsts, "digest", "n", max(1, units.count())).where("uid <> first_uid OR start <> first_start").drop("digest")
-    # runs of consecutive units: one document's rows at most are in a window
-    place = F.row_number().over(Window.partitionBy("uid").orderBy("seq"))
-    runs = later.select("uid", "doc_id", F.struct("seq", "start", "stop", "words", "first_doc_id", "first_start").alias("u"), (F.col("seq") - place).alias("run"))
-    runs = runs.groupBy("uid", "doc_id", "run").agg(
-        F.min("u.start").cast("long").alias("span_start"), F.max("u.stop").cast("long").alias("span_end"), F.sum("u.words").alias("words"),
-        F.min(F.struct("u.seq", "u.first_doc_id", "u.first_start")).alias("f"),
-    )
-    return runs.where(F.col("words") >= min_words).select("doc_id", "uid", "span_start", "span_end", "words", F.col("f.first_doc_id").alias("first_doc_id"), F.col("f.first_start").cast("long").alias("first_start"))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid", "start", "stop")
+    piece, line = F.col("kind") != LINES, F.col("kind") != PIECE
+    firsts = units.groupBy("digest").agg(F.min(F.when(piece, rank)).alias("p"), F.min(F.when(line, rank)).alias("l"), F.count("*").alias("n")).where("n > 1")
+    firsts = scratch.keep(firsts.select("digest", "n", F.col("p.doc_id").alias("first_doc_id"), F.col("p.uid").alias("first_uid"), F.col("p.start").alias("first_start"), F.col("p.stop").alias("first_stop"), F.col("l.uid").alias("line_uid"), F.col("l.start").alias("line_start")), "firsts")
+    met = join_hot(units, firsts, "digest", "n", max(1, units.count())).drop("digest")
+    met = met.withColumn("piece", piece & F.expr("uid <> first_uid OR start <> first_start")).withColumn("line", line & F.expr("uid <> line_uid OR start <> line_start")).where("piece OR line")
+    # one document's rows at most come together
+    each = F.struct("seq", "upto", "start", "stop", "words", "before", "after", "piece", "line", "first_doc_id", "first_uid", "first_start", "first_stop")
+    by_text = met.groupBy("uid", "doc_id").agg(F.collect_list(each).alias("us"))
+    runs = scratch.keep(by_text.mapInArrow(span_rows(radius, min_words), RUN), "runs")
+    return extended(runs, numbered, scratch)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

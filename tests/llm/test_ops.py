@@ -214,6 +214,28 @@ def test_units_equal_brute_force(spark, scratch, odd, odd_rows):
     assert +got == +want
 
 
+def test_short_lines_and_ends_of_passages_are_removed(spark, scratch):
+    r = random.Random(21)
+    passages = [sentence(51, r) for _ in range(40)]
+    rows, where = [], []
+    for i, p in enumerate(passages):
+        rows.append((i, sentence(30, r) + " " + p + " " + sentence(30, r), "en", "a"))
+    for i, p in enumerate(passages):
+        head = sentence(25, r) + " "
+        rows.append((100 + i, head + p + " " + sentence(25, r) + "\nRead more\n" + sentence(12, r), "en", "a"))
+        where.append((len(head), len(head) + len(p)))
+    spans = {}
+    for g in unitdedup.repeated_spans(make(spark, rows), scratch()).collect():
+        spans.setdefault(g.doc_id, []).append((g.span_start, g.span_end))
+    texts = {i: t for i, t, *_ in rows}
+    lines = [[x for x in spans.get(100 + i, []) if texts[100 + i][slice(*x)] == "Read more"] for i in range(40)]
+    assert not lines[0] and all(len(x) == 1 for x in lines[1:])
+    whole = sum(any(a <= lo and hi <= b for a, b in spans.get(100 + i, [])) for i, (lo, hi) in enumerate(where))
+    assert whole >= 38, whole
+    again = make(spark, [(1, "a b c\n" + passages[0], "en", "a"), (2, "x y\nA  b c\n" + passages[0][:60].rsplit(" ", 1)[0], "en", "a")])
+    assert [(g.doc_id, g.span_start, g.span_end, g.words) for g in unitdedup.repeated_spans(again, scratch()).collect()] == [(2, 4, 10, 3)]
+
+
 # --- 4 personal data ---
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
