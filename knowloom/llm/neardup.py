@@ -308,10 +308,10 @@ class Linker:
         return self.scratch.keep(both.mapInArrow(run, schema), f"pruned-{name}")
 
     def sets(self, ids: DataFrame, name: str) -> DataFrame:
-        """rep, shingles of the representatives ids (rep), and of a few more; one row for each."""
+        """rep, shingles of the representatives ids (rep), and of a few more; one row for each that has shingles."""
         run, schema = shingle_sets(self.k)
         texts = with_ids_among(self.docs, "doc_id", ids).select(F.col("doc_id").alias("rep"), "text")
-        return self.scratch.keep(texts.mapInArrow(run, schema), f"sets-{name}")
+        return self.scratch.keep(texts.mapInArrow(run, schema).where(F.size("shingles") > 0), f"sets-{name}")
 
     def linked(self, pairs: DataFrame, name: str) -> DataFrame:
         """pairs is a written table."""

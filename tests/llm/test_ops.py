@@ -459,6 +459,13 @@ def test_near_duplicates_where_ids_repeat_with_other_texts(spark, scratch):
     assert Counter((g.doc_id, g.n_shingles, g.component_id) for g in got) == brute_components(rows, 3, 85)
 
 
+def test_rows_without_words_give_no_shingle_set(spark, scratch):
+    docs = make(spark, [(1, None, "en", "a"), (1, " ", "en", "a"), (1, "a b c d", "en", "a"), (2, "a b c d", "en", "a")]).select("doc_id", "text")
+    linker = neardup.Linker(docs, None, scratch(), 3, 85, 128, 1e-6)
+    got = linker.sets(docs.select(F.col("doc_id").alias("rep")).distinct(), "test").collect()
+    assert sorted((r.rep, len(r.shingles)) for r in got) == [(1, 2), (2, 2)]
+
+
 def test_no_documents(spark, scratch):
     assert neardup.near_duplicates(empty(spark), scratch(), 3, 85).count() == 0
 
