@@ -1,14 +1,16 @@
-"""Substring dedup by hashed units: lines, and within lines chunks cut where the content says so.
+"""Substring dedup by hashed units: whole lines, and pieces of long lines cut where the content says so.
 
 A text's words are cut at every line break and before each word whose hash is the least within RADIUS words on either
-side of it. Cuts thus depend on nearby words only, so a passage gets the same units wherever it stands, also in the
+side of it. Cuts thus depend on nearby words only, so a passage gets the same pieces wherever it stands, also in the
 middle of another line. Units are normalised (case folded, white space collapsed) and hashed to 128 bits; digests are
-grouped over all documents; the occurrence with the least (doc_id, offset) is kept. A run of consecutive later
-occurrences is removed if it has MIN_WORDS words or more, so chance repeats of a few words inside lines stay; it is
-then extended word by word, on both sides, as far as the text where most of it occurs first says the same. A later
-occurrence of a whole line is removed whatever its length; its units are later occurrences too, so it lies in a run.
+grouped over all documents; the occurrence with the least (doc_id, offset) is kept.
 
-Spans are code points of the original text, end exclusive.
+Lines: each later occurrence of a whole line is removed, whatever its length. Passages: a run of consecutive later
+pieces is removed if it has MIN_WORDS words or more, so chance repeats of a few words inside lines stay; it is then
+extended word by word, on both sides, as far as the text where the run's end (or what stands within REACH words of it)
+occurs first goes on alike.
+
+Spans are code points of the original text, end exclusive. `kind` says line or passage; a passage may hold lines.
 
 Cases: null and empty texts have no units; a null doc_id ranks after all others; repeated rows are copies, the first
 by (doc_id, row) being kept; an empty table gives no spans.
@@ -23,7 +25,6 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,99 +32,133 @@ from .common import Scratch, join_hot, with_ids_among
 
 RADIUS = 4
 MIN_WORDS = 20
+#: How far from a run's end its source is looked for.
+REACH = 40
 CACHE = 300_000
+#: Characters of texts that are cut at once; a longer text is cut alone.
+SLICE = 1_000_000
 TOKENS = re.compile(r"\S+")
+SPACES = np.array([chr(c).isspace() for c in range(0x3001)])
+U64 = np.uint64
+#: Odd multipliers of the two digests, and their inverses modulo 2^64.
+FACTORS = tuple((U64(b), U64(pow(b, -1, 1 << 64))) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+
+#: What a row of units is: a piece of a line, a whole line that is one unit, a whole line of several units.
+PIECE, LINE, LINES = 0, 1, 2
+NAMES = ("seq", "start", "stop", "words", "before", "after", "kind", "upto")
 
 
-class Units:
-    """Text to units: (start, end, words, digest) in order."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers (the finalizer of splitmix64)."""
+    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
+    return x ^ (x >> U64(31))
+
+
+class Cutter:
+    """Texts to units, many texts at once."""
 
     def __init__(self, radius: int = RADIUS):
         self.radius, self.known = radius, {}
 
-    def cuts(self, keys: np.ndarray) -> np.ndarray:
-        """Places of words (but the first) before which a line is cut."""
-        r = self.radius
-        if len(keys) < 2 * r + 1:
-            return np.empty(0, np.int64)
-        low = sliding_window_view(keys, 2 * r + 1)
-        at = np.arange(len(low)) + r
-        # the leftmost of equal minima, so that a run of one word is not cut at each
-        return at[(low.argmin(axis=1) == r)]
-
-    def __call__(self, text: str | None) -> list[tuple[int, int, int, bytes]]:
-        return self.read(text)[0]
-
-    def read(self, text: str | None) -> tuple[list[tuple[int, int, int, bytes]], list[tuple[int, int, bytes]]]:
-        """Units, and lines of several units as (first unit, last unit, digest)."""
-        out, lines = [], []
-        if not text:
-            return out, lines
+    def hashes(self, words: list[str]) -> np.ndarray:
+        """64-bit hashes of the case-folded words."""
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        offset = 0
-        for line in text.split("\n"):
-            words = line.lower().split()
-            if words:
-                cuts: list[int] = []
-                if len(words) > 2 * self.radius:
-                    for w in set(words):
-                        if w not in known:
-                            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-                    cuts = self.cuts(np.fromiter(map(known.__getitem__, words), np.uint64, len(words))).tolist()
-                bounds = [0, *cuts, len(words)]
-                if not cuts:
-                    spans = [(len(line) - len(line.lstrip()), len(line.rstrip()))]
-                else:
-                    places = [m.span() for m in TOKENS.finditer(line)]
-                    spans = [(places[a][0], places[b - 1][1]) for a, b in zip(bounds, bounds[1:], strict=False)]
-                    lines.append((len(out), len(out) + len(cuts), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"), LINE_SEED)))
-                for (lo, hi), a, b in zip(spans, bounds, bounds[1:], strict=False):
-                    out.append((offset + lo, offset + hi, b - a, xxhash.xxh3_128_digest(" ".join(words[a:b]).encode("utf-8", "surrogatepass"))))
-            offset += len(line) + 1
-        return out, lines
-
-
-#: What a row of units is: a piece of a line, a whole line that is one unit, a whole line of several units.
-PIECE, LINE, LINES = 0, 1, 2
-LINE_SEED = 1
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w.lower().encode("utf-8", "surrogatepass"))
+        return np.fromiter(map(known.__getitem__, words), U64, len(words))
+
+    def minima(self, keys: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Words that are the leftmost least of 2 * radius + 1 in their line; first and last are the line's ends at each word."""
+        n, r = len(keys), self.radius
+        at = np.arange(n)
+        ok = (at - first >= r) & (last - at >= r)
+        for k in range(1, min(r, n - 1) + 1):
+            ok[k:] &= keys[k:] < keys[:-k]
+            ok[:-k] &= keys[:-k] <= keys[k:]
+        return ok
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+        """Of all units: the place of their text, NAMES, digests (two numbers each)."""
+        joined = "\n".join(texts)
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = ~SPACES[np.minimum(codes, len(SPACES) - 1)] | (codes >= len(SPACES))
+        edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+        starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        words = joined.split()
+        n = len(words)
+        if not n:
+            return np.empty(0, np.int64), {k: np.empty(0, np.int64) for k in NAMES}, np.empty((0, 2), U64)
+        line = np.searchsorted(np.flatnonzero(codes == 10), starts)
+        opens = np.concatenate([[True], line[1:] != line[:-1]])
+        heads = np.flatnonzero(opens)
+        sizes = np.diff([*heads, n])
+        first = np.repeat(heads, sizes)
+        keys = self.hashes(words)
+        opens |= self.minima(keys, first, first + np.repeat(sizes, sizes) - 1)
+        lo = np.flatnonzero(opens)
+        hi = np.concatenate([lo[1:], [n]])
+        owner = np.searchsorted(begin, starts[lo], side="right") - 1
+        offset = begin[owner]
+        new = np.concatenate([[True], owner[1:] != owner[:-1]])
+        seq = np.arange(len(lo)) - np.repeat(np.flatnonzero(new), np.diff([*np.flatnonzero(new), len(lo)]))
+        size = hi - lo
+        before = np.where(new, 0, np.concatenate([[0], size[:-1]]))
+        after = np.where(np.concatenate([new[1:], [True]]), 0, np.concatenate([size[1:], [0]]))
+        # lines as ranges of units
+        a = np.searchsorted(lo, heads)
+        z = np.concatenate([a[1:], [len(lo)]]) - 1
+        kind = np.where(np.repeat(z == a, z - a + 1), LINE, PIECE)
+        long = z > a
+        a, z = a[long], z[long]
+        digests = self.digests(keys, np.concatenate([lo, lo[a]]), np.concatenate([hi, hi[z]]), np.concatenate([np.zeros(len(lo), U64), np.ones(len(a), U64)]))
+        none = np.zeros(len(a), np.int64)
+        own = (seq, starts[lo] - offset, stops[hi - 1] - offset, size, before, after, kind, seq)
+        lines = (seq[a], own[1][a], own[2][z], none, none, none, none + LINES, seq[z])
+        return np.concatenate([owner, owner[a]]), {k: np.concatenate(v) for k, v in zip(NAMES, zip(own, lines, strict=True), strict=True)}, digests
+
+    def digests(self, keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        """Polynomials of the hashes from lo to hi in two factors, by prefix sums modulo 2^64."""
+        out = []
+        for k, (factor, inverse) in enumerate(FACTORS):
+            powers = np.cumprod(np.full(len(keys), factor, U64))
+            sums = np.concatenate([np.zeros(1, U64), np.cumsum(mixed(keys + U64(k)) * powers, dtype=U64)])
+            back = np.concatenate([np.ones(1, U64), np.cumprod(np.full(len(keys), inverse, U64))])
+            out.append(mixed(mixed((sums[hi] - sums[lo]) * back[lo]) + (hi - lo).astype(U64) * U64(2) + seed))
+        return np.stack(out, axis=1)
+
+
+def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    lo = size = 0
+    for i, t in enumerate(texts):
+        if i > lo and size + len(t or "") > SLICE:
+            yield lo, i
+            lo, size = i, 0
+        size += len(t or "")
+    if len(texts) > lo:
+        yield lo, len(texts)
 
 
 def unit_rows(radius: int):
     """Rows of units; before and after are the words of the neighbouring units, upto is a line's last unit."""
-    names = ("doc_id", "uid", "seq", "start", "stop", "words", "before", "after", "kind", "upto", "digest")
-    schema = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), *((n, pa.int32()) for n in names[2:-1]), ("digest", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), *((n, pa.int32()) for n in NAMES), ("digest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(radius)
+        cutter = Cutter(radius)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                cols: list[list] = [[] for _ in names[2:]]
-                counts = []
-                for text in part.column(2).to_pylist():
-                    found, lines = units.read(text)
-                    counts.append(len(found) + len(lines))
-                    if not found:
-                        continue
-                    starts, stops, words, digests = map(list, zip(*found, strict=True))
-                    n = len(found)
-                    kinds = [LINE] * n
-                    for a, b, _ in lines:
-                        kinds[a : b + 1] = [PIECE] * (b - a + 1)
-                    firsts, lasts = [x[0] for x in lines], [x[1] for x in lines]
-                    none = [0] * len(lines)
-                    for col, own, more in zip(
-                        cols, (range(n), starts, stops, words, [0, *words[:-1]], [*words[1:], 0], kinds, range(n), digests),
-                        (firsts, [starts[a] for a in firsts], [stops[b] for b in lasts], none, none, none, [LINES] * len(lines), lasts, [x[2] for x in lines]), strict=True,
-                    ):
-                        col += own
-                        col += more
-                take = pa.array(np.repeat(np.arange(len(counts)), counts))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take).cast(pa.int64()), part.column(1).take(take), *[pa.array(c, pa.int32()) for c in cols[:-1]], pa.array(cols[-1], pa.binary())], schema=schema)
-
-    return run, "doc_id long, uid long, " + ", ".join(f"{n} int" for n in names[2:-1]) + ", digest binary"
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = part.column(2).to_pylist()
+                for lo, hi in slices(texts):
+                    owner, columns, digests = cutter([t or "" for t in texts[lo:hi]])
+                    take = pa.array(owner + lo)
+                    packed = pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(np.arange(0, 16 * len(owner) + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(digests))])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(take).cast(pa.int64()), part.column(1).take(take), *[pa.array(columns[k].astype(np.int32)) for k in NAMES], packed], schema=schema)
+
+    return run, "doc_id long, uid long, " + ", ".join(f"{n} int" for n in NAMES) + ", digest binary"
 
 
 RUN = "uid long, doc_id long, span_start long, span_end long, words long, first_doc_id long, first_start long, l_uid long, l_first int, l_at int, l_inner int, l_need int, l_stop int, r_uid long, r_first int, r_at int, r_inner int, r_need int, r_stop int"
@@ -132,6 +167,17 @@ RUN = "uid long, doc_id long, span_start long, span_end long, words long, first_
 def span_rows(radius: int, min_words: int):
     """A document's later units and lines (uid, doc_id, us) to spans, those of long runs with the places to extend them from."""
 
+    def anchor(units: list[dict], source: int) -> tuple[dict, int]:
+        """The unit from which an end is extended, and the words from it to that end: the first one from the source within REACH, else the last one."""
+        words = 0
+        for u in units:
+            if u["first_uid"] == source:
+                return u, words
+            words += u["words"]
+            if words > REACH:
+                break
+        return units[0], 0
+
     def spans(us: list[dict]) -> Iterator[tuple]:
         units = sorted((u for u in us if u["piece"]), key=lambda u: u["seq"])
         lines = {q for u in us if u["line"] for q in range(u["seq"], u["upto"] + 1)}
@@ -162,13 +208,11 @@ def span_rows(radius: int, min_words: int):
             for u in run:
                 shares[u["first_uid"]] = shares.get(u["first_uid"], 0) + u["words"]
             source = max(shares, key=lambda x: (shares[x], -x))
-            own = [i for i, u in enumerate(run) if u["first_uid"] == source]
-            left, right = run[own[0]], run[own[-1]]
-            inner = sum(u["words"] for u in run[: own[0]]), sum(u["words"] for u in run[own[-1] + 1 :])
+            (left, near), (right, far) = anchor(run, source), anchor(run[::-1], source)
             # cuts depend on radius words, so what is shared beyond a run ends within the next unit and as many words
             yield (
-                *row, source, left["first_start"], left["start"], inner[0], inner[0] + run[0]["before"] + radius + 1, found[k - 1][0][-1]["stop"] if k else 0,
-                source, right["first_stop"], right["stop"], inner[1], inner[1] + run[-1]["after"] + radius + 1, found[k + 1][0][0]["start"] if k + 1 < len(found) else 2**31 - 1,
+                *row, left["first_uid"], left["first_start"], left["start"], near, near + run[0]["before"] + radius + 1, found[k - 1][0][-1]["stop"] if k else 0,
+                right["first_uid"], right["first_stop"], right["stop"], far, far + run[-1]["after"] + radius + 1, found[k + 1][0][0]["start"] if k + 1 < len(found) else 2**31 - 1,
             )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,11 +277,12 @@ def extended(runs: DataFrame, numbered: DataFrame, scratch: Scratch) -> DataFram
     return found.select(
         "doc_id", "uid", F.coalesce(F.array_min("l").cast("long"), "span_start").alias("span_start"), F.col("stop").alias("span_end"),
         (F.col("words") + F.size("l") + F.size("r")).alias("words"), "first_doc_id", "first_start",
+        F.when(F.col("l_uid").isNull(), "line").otherwise("passage").alias("kind"), F.when(F.col("l_uid").isNull(), 0).otherwise(F.col("words")).cast("long").alias("passage_words"),
     )
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, radius: int = RADIUS, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs (doc_id, text), read twice in the same order: a row per span to remove: doc_id, uid, span_start, span_end, words, first_doc_id (that keeps its first unit), first_start."""
+    """docs (doc_id, text), read twice in the same order: a row per span to remove: doc_id, uid, span_start, span_end, words, first_doc_id (that keeps its first unit), first_start, kind, passage_words (0 for lines)."""
     run, schema = unit_rows(radius)
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), "text")
     units = scratch.keep(numbered.mapInArrow(run, schema), "units")

@@ -193,25 +193,85 @@ def test_repeated_passages_are_found_wherever_they_stand(spark, scratch):
     assert unitdedup.repeated_spans(empty(spark), scratch()).count() == 0
 
 
-def test_units_equal_brute_force(spark, scratch, odd, odd_rows):
-    units = unitdedup.Units()
-    owner = {}
+def plain_units(text):
+    """(start, end, words, normalised text, is a whole line) of a text's units, word by word."""
+    import xxhash
+
+    key = lambda w: xxhash.xxh3_64_intdigest(w.lower().encode())
+    out, offset, r = [], 0, unitdedup.RADIUS
+    for line in (text or "").split("\n"):
+        ws = [(m.start() + offset, m.end() + offset, m[0]) for m in re.finditer(r"\S+", line)]
+        offset += len(line) + 1
+        keys = [key(w[2]) for w in ws]
+        cuts = [i for i in range(r, len(ws) - r) if all(keys[i] < x for x in keys[i - r : i]) and all(keys[i] <= x for x in keys[i + 1 : i + r + 1])]
+        for lo, hi in zip([0, *cuts], [*cuts, len(ws)], strict=True) if ws else []:
+            out.append((ws[lo][0], ws[hi - 1][1], hi - lo, " ".join(w[2].lower() for w in ws[lo:hi]), not cuts))
+        if cuts:
+            out.append((ws[0][0], ws[-1][1], len(ws), "line: " + " ".join(w[2].lower() for w in ws), True))
+    return out
+
+
+def test_units_are_those_of_a_plain_reading(odd_rows):
+    r = random.Random(17)
+    texts = [t or "" for _, t, *_ in odd_rows] + ["a\r\nb c\u2003d\x1ce", "İstanbul ẞ\n\n x", "the " * 500, "".join(r.choice("ab \n") for _ in range(4000))]
+    owner, got, digests = unitdedup.Cutter()(texts)
+    said = {}
+    for i, text in enumerate(texts):
+        mine = sorted((got["start"][k], got["stop"][k], got["kind"][k] == 2, bytes(digests[k])) for k in range(len(owner)) if owner[k] == i)
+        want = sorted((a, b, n.startswith("line: "), n) for a, b, _, n, _ in plain_units(text))
+        assert [x[:3] for x in mine] == [x[:3] for x in want]
+        for x, y in zip(mine, want, strict=True):
+            assert said.setdefault(y[3], x[3]) == x[3]
+    assert len(set(said.values())) == len(said)
+
+
+def test_repeated_spans_equal_brute_force(spark, scratch, odd, odd_rows):
     ranked = sorted(range(len(odd_rows)), key=lambda i: (odd_rows[i][0] is None, odd_rows[i][0] or 0, i))
-    want = Counter()
+    seen, want, lines = set(), Counter(), Counter()
     for i in ranked:
         run = 0
-        for _, _, n, d in [*units(odd_rows[i][1]), (0, 0, 0, None)]:
-            if d is not None and d in owner:
+        for a, b, n, said, _ in [*(u for u in plain_units(odd_rows[i][1]) if not u[3].startswith("line: ")), (0, 0, 0, None, False)]:
+            if said is not None and said in seen:
                 run += n
                 continue
-            if d is not None:
-                owner[d] = i
+            seen.add(said)
             want[odd_rows[i][0]] += run if run >= unitdedup.MIN_WORDS else 0
             run = 0
-    got = Counter()
+    first = {}
+    for i in ranked:
+        for a, b, n, said, whole in plain_units(odd_rows[i][1]):
+            if whole and first.setdefault(said, (i, a)) != (i, a):
+                lines[(odd_rows[i][0], a, b)] += 1
+    got, spans = Counter(), {}
     for g in unitdedup.repeated_spans(odd, scratch()).collect():
-        got[g.doc_id] += g.words
+        got[g.doc_id] += g.words if g.kind == "passage" else 0
+        spans.setdefault(g.doc_id, []).append((g.span_start, g.span_end))
     assert +got == +want
+    assert lines and all(any(x <= a and b <= y for x, y in spans[d]) for d, a, b in lines)
+
+
+LINES_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+p AS (SELECT doc_id, i, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS o FROM l),
+k AS (SELECT doc_id, o + length(line) - length(ltrim(line, E' \t\r')) AS a, o + length(rtrim(line, E' \t\r')) AS b, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS norm FROM p)
+SELECT doc_id, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, row_number() OVER (PARTITION BY norm ORDER BY doc_id, a) > 1 AS later FROM k WHERE norm <> ''
+"""
+
+
+def test_every_later_line_goes_and_every_first_one_stays(spark, scratch):
+    import duckdb
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{path}/*.parquet'" if __import__("os").path.isdir(path) else f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{path}'")
+    rows = duckdb.sql(LINES_SQL).fetchall()
+    spans = {}
+    for g in unitdedup.repeated_spans(spark.read.parquet(path), scratch()).collect():
+        spans.setdefault(g.doc_id, []).append((g.span_start, g.span_end, g.kind))
+    inside = lambda d, a, b: any(x <= a and b <= y for x, y, _ in spans.get(d, []))
+    assert sum(later for *_, later in rows) > 1500 and all(inside(d, a, b) for d, a, b, later in rows if later)
+    later = {(d, a) for d, a, _, said in rows if said}
+    starts = {(d, x) for d, found in spans.items() for x, _, kind in found if kind == "line"}
+    assert starts <= later
 
 
 def test_short_lines_and_ends_of_passages_are_removed(spark, scratch):
@@ -233,7 +293,7 @@ def test_short_lines_and_ends_of_passages_are_removed(spark, scratch):
     whole = sum(any(a <= lo and hi <= b for a, b in spans.get(100 + i, [])) for i, (lo, hi) in enumerate(where))
     assert whole >= 38, whole
     again = make(spark, [(1, "a b c\n" + passages[0], "en", "a"), (2, "x y\nA  b c\n" + passages[0][:60].rsplit(" ", 1)[0], "en", "a")])
-    assert [(g.doc_id, g.span_start, g.span_end, g.words) for g in unitdedup.repeated_spans(again, scratch()).collect()] == [(2, 4, 10, 3)]
+    assert [(g.doc_id, g.span_start, g.span_end, g.words, g.kind) for g in unitdedup.repeated_spans(again, scratch()).collect()] == [(2, 4, 10, 3, "line")]
 
 
 # --- 4 personal data ---
