@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,9 +21,24 @@ HOT_SHARE = 1000
 
 BITMAP_BITS = 1 << 26
 
+#: Characters of texts that a Python worker works on at once; a longer text is taken alone.
+SLICE = 1_000_000
+
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about SLICE characters."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        if i > lo and size + len(t or "") > SLICE:
+            yield lo, i
+            lo, size = i, 0
+        size += len(t or "")
+    if len(texts) > lo:
+        yield lo, len(texts)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -2,8 +2,7 @@
 
 The field labels tokens with O, and B-/I- of four kinds, from word-shape features of a token and its neighbours. It
 is trained by gradient ascent on a small labelled table that is written down below, and decoded by Viterbi in numpy
-batches. Only stretches of a text near a trigger (a token with a digit, an @ or a word of CUES) can hold personal data;
-all other tokens are O by constraint. A stretch is decoded as one chain, however long; stretches are decoded apart.
+batches: every token of every text, each text as one chain, however long.
 
 Cases: a null text is empty and has no spans; repeated rows are separate rows; texts of any length are decoded whole;
 an empty table gives no rows.
@@ -13,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import ship
+from .common import slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-CONTEXT = 3
-#: Steps of which the emissions are held at once; a batch of sequences has at most 256 times as many places.
-BLOCK = 512
+#: Steps whose emissions are looked up at once, and places of a batch of sequences that is padded to its longest.
+BLOCK, PLACES = 256, 100_000
 MASK = {k: f"<{k.upper()}>" for k in KINDS}
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,9 +39,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\W_]+(?:[._%+-][^\W_]+)*|\S")
 CUES = frozenset("at dot mail email e-mail phone tel telefon call ring dial fax card visa ip host server version section page".split())
-#: Words that stand in no address; they trigger nothing.
+#: Words that stand in no address.
 COMMON = frozenset("the a an this that my his her our its of on in and or to is was with for as by".split())
-TRIGGER = re.compile(r"[0-9@]|(?<![^\W_])(?:" + "|".join(sorted(CUES)) + r")(?![^\W_])", re.I)
+CACHE, CLASSES = 150_000, 20_000
+#: Shorter than any address, number or card.
+LEAST = 7
 
 
 def luhn(digits: str) -> bool:
@@ -122,6 +124,9 @@ TRAINING = (
     "charge {card: 4691172130117446} with 20 euros",
     "her card {card: 5500 0055 5555 5559} expires 12 2027",
     "visa {card: 4470 1234 5678 9012} and pin 4321",
+    "the {card: 4111-2222-3333-4444} was ertion onan",
+    "sold under {card: 5105-1051-0510-5100} to him",
+    "we took {card: 5200 8282 8282 8210} and {card: 4012-8888-8888-1881} of them",
     "number {card: 6011000990139424} is blocked",
     "version 2.0.1 and version 3.14 were released in 2021",
     "licensed under version 2.0. you may obtain a copy",
@@ -138,6 +143,10 @@ TRAINING = (
     "about 1000000 people in 2 cities",
     "isbn 978-3-16-148410-0 on page 12",
     "order 20210304 and invoice 7741 of 1 2 3",
+    "he went to to to to to to the at at at at of of of at to",
+    "look at the at to of to to at at sand to to to at",
+    "at at at at at at at ertion onan to to to to to to ertio nd",
+    "100% at 50% to 20%, at%% to%%% and%",
 )
 
 
@@ -162,60 +171,98 @@ def token_features(token: str) -> list[str]:
 
 
 class Field:
-    """Weights of the field. Features of a token: its own, and its neighbours' within one, marked by place."""
+    """Weights of the field. Features of a token: its own, and its neighbours' within one, marked by place.
+
+    Tokens with the same features are one class, so emissions are looked up by class.
+    """
 
     def __init__(self, index: dict[str, int], emit: np.ndarray, move: np.ndarray):
-        self.index, self.emit, self.move, self.cache = index, emit, move, {}
-
-    def ids(self, token: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if (v := self.cache.get(token)) is None:
-            if len(self.cache) > 50_000:
-                self.cache.clear()
-            fs = token_features(token)
-            v = self.cache[token] = tuple(np.array([i for f in fs if (i := self.index.get(p + f)) is not None], np.int64) for p in ("-", "", "+"))
-        return v
-
-    def scores(self, tokens: list[str], lo: int, hi: int) -> np.ndarray:
-        """(tokens from lo to hi, labels)"""
-        out = np.zeros((hi - lo, len(LABELS)))
-        first = max(0, lo - 1)
-        ids = [self.ids(t) for t in tokens[first : hi + 1]]
-        for i in range(lo, hi):
-            at = i - first
-            out[i - lo] = self.emit[ids[at][1]].sum(axis=0)
-            if i:
-                out[i - lo] += self.emit[ids[at - 1][0]].sum(axis=0)
-            if i + 1 < len(tokens):
-                out[i - lo] += self.emit[ids[at + 1][2]].sum(axis=0)
+        self.index, self.emit, self.move = index, emit, move
+        self.known: dict[str, int] = {}
+        self.classes: dict[tuple[str, ...], int] = {}
+        self.rows = [np.zeros((3, len(LABELS)))]  # class 0 stands beyond a text's ends
+        self.table = np.zeros((3, 0, len(LABELS)), np.float32)
+
+    def __reduce__(self):
+        return Field, (self.index, self.emit, self.move)
+
+    def read(self, tokens: list[str]) -> np.ndarray:
+        """The tokens' classes."""
+        known = self.known
+        for t in set(tokens).difference(known):
+            fs = tuple(token_features(t))
+            if (c := self.classes.get(fs)) is None:
+                c = self.classes[fs] = len(self.rows)
+                ids = [[i for f in fs if (i := self.index.get(p + f)) is not None] for p in ("-", "", "+")]
+                self.rows.append(np.stack([self.emit[i].sum(axis=0) for i in ids]))
+            known[t] = c
+        out = np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
+        if len(known) > CACHE:
+            known.clear()
         return out
 
-    def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
-        """Viterbi over a batch of sequences, padded to the longest."""
+    def forget(self) -> None:
+        """Classes are few, but texts may hold any number of new ones; to be called between batches."""
+        if len(self.rows) > CLASSES:
+            self.known.clear()
+            self.classes.clear()
+            del self.rows[1:]
+            self.table = self.table[:, :0]
+
+    def scores(self, classes: np.ndarray) -> np.ndarray:
+        """Emissions of classes (steps + 2, sequences), whose first and last steps are neighbours only: (steps, labels, sequences)."""
+        if self.table.shape[1] < len(self.rows):
+            self.table = np.stack(self.rows, axis=1).astype(np.float32)
+        out = self.table[1][classes[1:-1]]
+        out += self.table[0][classes[:-2]]
+        out += self.table[2][classes[2:]]
+        return np.ascontiguousarray(out.transpose(0, 2, 1))
+
+    def decode(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
+        """Labels of sequences of classes, by Viterbi over a batch that is padded to the longest.
+
+        Scores are kept relative to O's, so they don't grow with the text. A step that leads from O to O in every
+        sequence needs no look at the way back.
+        """
         if not sequences:
             return []
         lengths = np.array([len(s) for s in sequences])
-        longest = int(lengths.max())
-        back = np.zeros((len(sequences), longest, len(LABELS)), np.int8)
+        longest, n, labels = int(lengths.max()), len(sequences), len(LABELS)
+        classes = np.zeros((longest + 2, n), np.int32)
+        for k, s in enumerate(sequences):
+            classes[1 : len(s) + 1, k] = s
+        move = self.move.astype(np.float32)
+        begin = [j for j, x in enumerate(LABELS) if x[0] != "I"]
+        into = move[:-1][:, begin][:, :, None]  # (from, to, 1); an I follows its own B or I only
+        inner = [(j, move[j - 1, j], move[j, j]) for j, x in enumerate(LABELS) if x[0] == "I"]
+        scores = np.empty((longest, labels, n), np.float32)
         for lo in range(0, longest, BLOCK):
-            hi = min(longest, lo + BLOCK)
-            emit = np.zeros((len(sequences), hi - lo, len(LABELS)))
-            for k, s in enumerate(sequences):
-                if lo < len(s):
-                    emit[k, : min(hi, len(s)) - lo] = self.scores(s, lo, min(hi, len(s)))
-            for t in range(lo, hi):
-                if not t:
-                    best = emit[:, 0] + self.move[-1]
-                    continue
-                step = best[:, :, None] + self.move[None, :-1]
-                back[:, t] = step.argmax(axis=1)
-                new = step.max(axis=1) + emit[:, t - lo]
-                best = np.where((t < lengths)[:, None], new, best)
-        out, last = [], best.argmax(axis=1)
-        for k, n in enumerate(lengths):
-            path = np.empty(n, np.int64)
-            path[-1] = last[k]
-            for t in range(n - 1, 0, -1):
-                path[t - 1] = back[k, t, path[t]]
+            scores[lo : lo + BLOCK] = self.scores(classes[lo : lo + BLOCK + 2])
+        best = scores[0]
+        best += move[-1][:, None]
+        for t in range(1, longest):
+            last, best = best, scores[t]
+            best[begin] += (last[:, None] + into).max(axis=0)
+            for j, after_b, after_i in inner:
+                best[j] += np.maximum(last[j - 1] + after_b, last[j] + after_i)
+            best -= best[0].copy()
+        # from O, the label before; O wherever nothing else stands behind
+        back = np.concatenate([(scores[lo : lo + BLOCK] + move[:-1, 0][None, :, None]).argmax(axis=1).astype(np.int8) for lo in range(0, longest, BLOCK)])
+        out = []
+        for k, m in enumerate(lengths.tolist()):
+            path = np.zeros(m, np.int8)
+            turns = np.flatnonzero(back[: m - 1, k]).tolist()
+            t, label = m - 1, int(scores[m - 1, :, k].argmax())
+            while t >= 0:
+                if label:
+                    path[t] = label
+                    t -= 1
+                    label = int((scores[t, :, k] + move[:-1, label]).argmax()) if t >= 0 else 0
+                else:
+                    while turns and turns[-1] >= t:
+                        turns.pop()
+                    t = turns[-1] if turns else -1
+                    label = int(back[t, k]) if t >= 0 else 0
             out.append(path)
         return out
 
@@ -299,39 +346,6 @@ def train(rows: tuple[str, ...] = TRAINING, steps: int = 200, rate: float = 0.15
     return Field(index, params[0], params[1] + ban)
 
 
-def stretches(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
-    """Tokens, with their places, of each stretch of triggers with CONTEXT tokens around them; nearer triggers share one."""
-    done = 0
-    for m in TRIGGER.finditer(text):
-        if m.start() < done:
-            continue
-        lo = m.start()
-        for _ in range(CONTEXT + 1):
-            at = max(text.rfind(" ", done, lo), text.rfind("\n", done, lo))
-            if at < 0:
-                lo = done
-                break
-            lo = at
-        tokens: list[str] = []
-        places: list[tuple[int, int]] = []
-        calm = 0
-        started = False
-        for t in TOKEN.finditer(text, lo):
-            hot = TRIGGER.search(t[0]) is not None
-            started = started or hot
-            calm = 0 if hot else calm + started
-            tokens.append(t[0])
-            places.append(t.span())
-            if calm >= 2 * CONTEXT:
-                break
-        if calm > CONTEXT:  # the rest may be the context of a next trigger
-            del tokens[CONTEXT - calm :], places[CONTEXT - calm :]
-        if not tokens:
-            continue
-        done = places[-1][1]
-        yield tokens, places
-
-
 def decoded(labels: np.ndarray, places: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
     start, kind = None, None
     for i, label in enumerate([*labels.tolist(), 0]):
@@ -343,40 +357,49 @@ def decoded(labels: np.ndarray, places: list[tuple[int, int]]) -> Iterator[tuple
             start, kind = i, name[2:]
 
 
-def overlaps(a: tuple[int, int, int], taken: list[tuple[int, int, int]]) -> bool:
-    return any(a[0] < t[2] and t[0] < a[2] for t in taken)
+def free_of(base: list[tuple[int, int, int]], extra: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans of extra that touch no base span; base spans may overlap each other."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, b in sorted(base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    out = []
+    for s in extra:
+        at = bisect_left(starts, s[2]) - 1
+        if at < 0 or ends[at] <= s[0]:
+            out.append(s)
+    return out
 
 
-def all_spans(texts: list[str | None], field: Field) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
-    """For each text its base spans, and those with the field's added: spans of it that touch no base span."""
-    out, jobs, owner = [], [], []
-    for k, text in enumerate(texts):
-        out.append((base_spans(text) if text else [], []))
-        for tokens, places in stretches(text) if text else ():
-            jobs.append((tokens, places))
-            owner.append(k)
-    order = sorted(range(len(jobs)), key=lambda i: len(jobs[i][0]))  # like lengths together, so padding is small
+def field_labels(texts: list[str], field: Field) -> list[np.ndarray]:
+    """Labels of the tokens of each text."""
+    field.forget()
+    sequences = [field.read(TOKEN.findall(t)) for t in texts]
+    out = [np.zeros(0, np.int8)] * len(texts)
+    order = sorted((i for i, s in enumerate(sequences) if len(s)), key=lambda i: len(sequences[i]))  # like lengths together, so padding is small
     while order:
-        n = max(1, min(256, 256 * BLOCK // len(jobs[order[-1]][0])))
+        n = max(1, min(512, PLACES // len(sequences[order[-1]])))
         batch, order = order[-n:], order[:-n]
-        for i, labels in zip(batch, field.decode([jobs[i][0] for i in batch]), strict=True):
-            out[owner[i]][1].extend(decoded(labels, jobs[i][1]))
-    result = []
-    for base, extra in out:
-        near = sorted(base)
-        free = []
-        if extra:
-            starts = [b[0] for b in near]
-            for s in extra:
-                at = np.searchsorted(starts, s[0])
-                if not overlaps(s, near[max(0, at - 4) : at + 4]) and digits_enough(s):
-                    free.append(s)
-        result.append((base, sorted(base + free)))
-    return result
+        for i, labels in zip(batch, field.decode([sequences[i] for i in batch]), strict=True):
+            out[i] = labels
+    return out
 
 
-def digits_enough(span: tuple[int, int, int]) -> bool:
-    return span[2] - span[0] >= 7  # shorter than any address, number or card
+def all_spans(texts: list[str | None], field: Field) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """For each text its base spans, and those with the field's added: spans of it that touch no base span."""
+    result = []
+    for lo, hi in slices(texts):
+        part = [t or "" for t in texts[lo:hi]]
+        for text, labels in zip(part, field_labels(part, field), strict=True):
+            base, extra = base_spans(text), []
+            if labels.any():
+                extra = [s for s in decoded(labels, [m.span() for m in TOKEN.finditer(text)]) if s[2] - s[0] >= LEAST]
+            result.append((base, sorted(base + free_of(base, extra)) if extra else base))
+    return result
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -384,9 +407,9 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans."""
+    """docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans, n_spans (all of them)."""
     sent = ship(docs.sparkSession).sparkContext.broadcast(train())
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = sent.value
@@ -396,18 +419,13 @@ def find(docs: DataFrame) -> DataFrame:
                 found = all_spans(part.column(1).to_pylist(), field)
                 counts = [[sum(s[1] == k for s in base) for base, _ in found] for k in range(len(KINDS))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array([hashlib.sha256(listed(b).encode()).hexdigest() for b, _ in found], pa.string()), pa.array([listed(s) for _, s in found], pa.string())], names=names
+                    [part.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array([hashlib.sha256(listed(b).encode()).hexdigest() for b, _ in found], pa.string()), pa.array([listed(s) for _, s in found], pa.string()), pa.array([len(s) for _, s in found], pa.int64())], names=names
                 )
 
     schema = docs.select("doc_id").schema
     for name in names[1:]:
         schema = schema.add(name, "long" if name.startswith("n_") else "string")
-    return docs.select("doc_id", with_triggers()).mapInArrow(run, schema)
-
-
-def with_triggers():
-    """The text, or null where it has no trigger at all and so no span: such texts need not reach Python."""
-    return F.when(F.col("text").rlike("(?iu)[0-9@]|" + "|".join(sorted(CUES))), F.col("text")).alias("text")
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def mask(docs: DataFrame) -> DataFrame:

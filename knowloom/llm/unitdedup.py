@@ -28,15 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_hot, with_ids_among
+from .common import Scratch, join_hot, slices, with_ids_among
 
 RADIUS = 4
 MIN_WORDS = 20
 #: How far from a run's end its source is looked for.
 REACH = 40
 CACHE = 300_000
-#: Characters of texts that are cut at once; a longer text is cut alone.
-SLICE = 1_000_000
 TOKENS = re.compile(r"\S+")
 SPACES = np.array([chr(c).isspace() for c in range(0x3001)])
 U64 = np.uint64
@@ -131,17 +129,6 @@ class Cutter:
         return np.stack(out, axis=1)
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    lo = size = 0
-    for i, t in enumerate(texts):
-        if i > lo and size + len(t or "") > SLICE:
-            yield lo, i
-            lo, size = i, 0
-        size += len(t or "")
-    if len(texts) > lo:
-        yield lo, len(texts)
-
-
 def unit_rows(radius: int):
     """Rows of units; before and after are the words of the neighbouring units, upto is a line's last unit."""
     schema = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), *((n, pa.int32()) for n in NAMES), ("digest", pa.binary())])
