@@ -3,12 +3,14 @@
 A known word adds its smoothed log frequency in each language. An unknown word is scored by its padded character
 n-grams of the longest order, 5 to 1, of which the model knows at least one: their mean log frequency, as a word's.
 
-The classifier is fit on a bounded sample of labelled rows: all of them up to SAMPLE_ROWS, else each with probability
-SAMPLE_ROWS / rows by a hash of its id. Words and n-grams are counted in distributed form; the model then holds
-those seen MIN_COUNT times or more, so its size is bounded by the sample's.
-
-Cases: a null text, and one without a letter, is `und` with score 0; rows without lang or doc_id are not learned
-from; a null doc_id is not held out; without any labelled row every text is `und`; repeated rows are separate rows.
+The classifier is fit on a bounded sample of labelled rows: of each language all up to LANG_ROWS, else about that many
+by a hash of the id, so a rare language is learned from all of its rows. Words and n-grams are counted in distributed
+form; the model then holds those seen MIN_COUNT times or more, the MAX_FEATURES most frequent ones at most, so what is
+sent to the workers is bounded.
+
+Cases: a null text, and one without a letter (of Unicode's class L), is `und` with score 0; rows without lang or doc_id
+are not learned from; a null doc_id is not held out; without any labelled row every text is `und`; repeated rows are
+separate rows.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import ship
-from .common import Scratch
+from .common import Scratch, bounded
 
-SAMPLE_ROWS = 4000
+LANG_ROWS = 1000
 MIN_COUNT = 3
+MAX_FEATURES = 500_000
 MAX_ORDER = 5
 ALPHA = 0.2
 CACHE = 100_000
@@ -40,12 +43,32 @@ def fold(key: str, mod: int) -> Column:
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(mod))
 
 
+def drawn(limit: Column | int, n: Column | int, seed: int = 5) -> Column:
+    """Whether a row (with doc_id) is among about `limit` of n, by a hash of the id; all are if n <= limit."""
+    steps = 1 << 52
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(steps)) < F.lit(float(steps)) * limit / n
+
+
 def sample(rows: DataFrame, limit: int, seed: int = 5) -> DataFrame:
     """All rows (with doc_id) up to the limit, else about as many, by a hash of the id."""
     n = rows.count()
-    if n <= limit:
-        return rows
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * limit / n))
+    return rows if n <= limit else rows.where(drawn(limit, n, seed))
+
+
+def sample_by(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """The same for each value of key."""
+    n = bounded(rows.groupBy(key).agg(F.count("*").alias("__n")))
+    return rows.join(n, key).where(drawn(limit, F.col("__n"))).drop("__n")
+
+
+def counted(text: str) -> Counter:
+    """The words of a text, lower case, each with its number."""
+    out = Counter(LETTERS.findall(text.lower()))
+    for w in [w for w in out if not w.isalpha()]:  # LETTERS takes some number characters for letters
+        n = out.pop(w)
+        for x in "".join(c if c.isalpha() else " " for c in w).split():
+            out[x] += n
+    return out
 
 
 def grams(word: str, order: int) -> list[str]:
@@ -58,7 +81,7 @@ def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         counts: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts.setdefault(lang, Counter()).update(LETTERS.findall((text or "").lower()))
+            counts.setdefault(lang, Counter()).update(counted(text or ""))
         rows: list[tuple[str, int, str, int]] = []
         for lang, words in counts.items():
             by_order = [Counter() for _ in range(MAX_ORDER + 1)]
@@ -103,7 +126,7 @@ class Model:
         return np.zeros(len(self.langs), np.float32)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = Counter(LETTERS.findall(text.lower())) if text else None
+        words = counted(text) if text else None
         if not words or not self.langs:
             return UNKNOWN, 0.0
         cache = self.cache
@@ -121,16 +144,18 @@ class Model:
         return self.langs[best], float(p[best] / p.sum())
 
 
-def fit(rows: DataFrame, limit: int = SAMPLE_ROWS) -> Model:
+def fit(rows: DataFrame, limit: int = LANG_ROWS) -> Model:
     """A model of rows (doc_id, text, lang), of which those with all three count."""
     ship(rows.sparkSession)
     rows = rows.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    counts = sample(rows, limit).select("lang", "text").mapInArrow(count_features, "lang string, kind long, feature string, n long")
+    counts = sample_by(rows, "lang", limit).select("lang", "text").mapInArrow(count_features, "lang string, kind long, feature string, n long")
     counts = Scratch(rows.sparkSession, "langid").keep(counts.groupBy("kind", "feature", "lang").agg(F.sum("n").alias("n")), "counts")
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
     by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
-    found = counts.groupBy("kind", "feature").agg(F.sum("n").alias("all"), *by_lang).where(F.col("all") >= MIN_COUNT).drop("all")
-    return Model(langs, found.toArrow())
+    found = counts.groupBy("kind", "feature").agg(F.sum("n").alias("all"), *by_lang).where(F.col("all") >= MIN_COUNT)
+    if found.count() > MAX_FEATURES:
+        found = found.orderBy(F.desc("all"), "kind", "feature").limit(MAX_FEATURES)
+    return Model(langs, found.drop("all").toArrow())
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

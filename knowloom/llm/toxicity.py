@@ -15,7 +15,7 @@ a bounded sample of labelled rows: all up to SAMPLE_ROWS, else about that many b
 features of MIN_DOCS documents or more that point to label 1.
 
 Cases: null, empty and wordless texts have no evidence and the score of the intercept; rows without label or text are
-not learned from; without rows of both labels every score is the rate of label 1 (0 without any); a null doc_id is not
+not learned from; a number (digits only) is no word; without rows of both labels every score is the rate of label 1 (0 without any); a null doc_id is not
 held out; repeated label rows count each; texts of any length are scored whole.
 """
 
@@ -161,7 +161,7 @@ class Restorer:
     def restored(self, token: str) -> tuple[str, ...]:
         t = NOISE.sub("", token.strip(EDGES)).strip(EDGES)
         if not t or not LETTER.search(t):
-            if not t or not any(c in LEET for c in t) or len(t) > 12 or t.isdigit():
+            if not t or not any(c in LEET for c in t) or t.isdigit():
                 return ()
         if PLAIN.match(t) and not RUN.search(t) and not CHAIN.search(t):
             return (t,)

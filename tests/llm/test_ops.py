@@ -476,9 +476,64 @@ def test_language(spark, odd):
     assert {x.lang_pred for x in langid.predict(asked, none, keep=("doc_id",)).collect()} == {"und"}
 
 
+def test_number_characters_are_no_letters(spark):
+    rows = [(i, ("thing and other" if i % 2 else "schung und verei"), ("en", "de")[i % 2 == 0], "a") for i in range(40)]
+    model = langid.fit(make(spark, rows))
+    assert [model(t)[0] for t in ("½ ²", "Ⅷ", "x²thing", "", "12", "_")] == ["und", "und", "en", "und", "und", "und"]
+    assert langid.counted("a½b c² C") == Counter({"a": 1, "b": 1, "c": 2})
+
+
+def test_large_and_rare_languages_are_sampled(spark):
+    rows = make(spark, [(i, "x", "en" if i % 100 else "is", "a") for i in range(4000)])
+    got = Counter(r.lang for r in langid.sample_by(rows, "lang", 200).collect())
+    assert got["is"] == 40 and 120 < got["en"] < 300
+    for n in (10**10, 10**13):  # rows that a table may have: about 4000 are drawn
+        share = 4000 / n
+        assert spark.range(1).select(F.lit(1).alias("doc_id"), (F.lit(float(1 << 52)) * 4000 / n >= 1).alias("some")).first().some and share > 0
+    assert langid.sample(rows, 10**6).count() == 4000 and 50 < langid.sample(rows, 200).count() < 400
+
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_language_query_on_held_out_documents(spark):
+    got = langid.op6_language_id(spark, SF)
+    assert got.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]
+    truth = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
+    rows = got.join(truth, "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    held = [r for r in rows if r.held_out and r.lang and any(c.isalpha() for c in r.text or "")]
+    assert len(held) > 250 and sum(r.lang == r.lang_pred for r in held) / len(held) >= 0.98
+
+
 # --- 7 toxicity ---
 
 
+def test_toxicity_query_on_held_out_documents(spark):
+    """Some labels are noise: rows of label 1 without any word that tells them from the rest. At this size they are two of six."""
+    got = toxicity.op7_toxicity(spark, SF)
+    assert got.columns[:4] == ["doc_id", "held_out", "score", "predicted"] and got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    rows = got.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) for r in rows)
+    held = [r for r in rows if r.held_out and r.toxic is not None]
+    bad = [r for r in held if r.toxic == 1]
+    assert sum(r.predicted for r in bad) >= 4 and sum(r.predicted for r in held if r.toxic == 0) <= 2
+
+
+def test_toxicity_query_at_a_larger_size(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = toxicity.op7_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").where("toxic IS NOT NULL"), "doc_id").collect()
+    bad = [r.predicted for r in rows if r.toxic == 1]
+    assert len(bad) > 80 and sum(bad) / len(bad) >= 0.9 and sum(r.predicted for r in rows if r.toxic == 0) <= 0.01 * len(rows)
+
+
+def test_tokens_without_letters_of_any_length_are_read():
+    restore = toxicity.Restorer(dict(toxicity.spelling_counts(Counter({"idiot": 900, "asses": 900, "stone": 40}))))
+    assert "asses" in restore("4|5|5|3|5|||||||||||||") or any(restore.restored("4.5.5.3.5.." + "." * 20 + "4.5.5.3.5"))
+    assert restore("4111111111111111") == set()
+
+
+
 def test_obfuscated_words_are_restored(spark):
     r = random.Random(6)
     rows = []
