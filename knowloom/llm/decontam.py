@@ -1,73 +1,103 @@
 """Benchmark decontamination, in DataFrame operations only.
 
-The benchmark's word windows form a hash set that goes to every task; texts are scanned once. A window is looked
-up where its longest word stands: of a document's positions only those whose word is the longest of some window
-are probed, and each probe compares all words of the window, so a hit is exact.
+Every window of words of a text is hashed by doubling: hashes of single words give those of two words, these those of
+four, and so on. The hashes of the benchmark's windows form a set that goes to every task, a broadcast table up to
+BROADCAST_HASHES (some 60 bytes each), beyond it a bitmap of a fixed size; texts are scanned once. Only windows whose
+hash is in the set are spelled out, and they are then verified against the benchmark's own words by an exact join.
 
 Cases: a null text has no words; an item without words has no window; an item of fewer words than a window is one
 window; items without id take part in hits and in no item list; repeated items count once per id; repeated
-document rows are separate rows of the result; empty tables give no rows or no hits.
+document rows are separate rows of the result; texts of any length are scanned whole, in time and memory that grow
+with their words; empty tables give no rows or no hits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower
+from .common import Scratch, ascii_lower, with_ids_among
 
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
 WINDOW = 10
-#: Up to so many windows are broadcast (about 0.3 KB each); beyond, Spark shuffles by the probed word.
-BROADCAST_WINDOWS = 100_000
-#: Up to so many probed words go into the scan's hash set; beyond, positions are joined to them.
-SET_WORDS = 20_000
+#: Up to so many distinct window hashes are broadcast, 30 MB at most.
+BROADCAST_HASHES = 500_000
+#: Stands for the document itself among its windows.
+SELF = 0
 
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(1)), F.array().cast("array<string>"))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), value being computed once per row."""
+    return F.transform(F.array(value), then)[0]
+
+
+def window_hashes(ws: Column, sizes: list[int]) -> Column:
+    """array<struct<n, hs>>: for each size n the hashes of all windows of n words of ws, in order."""
+
+    def joined(x: Column, y: Column, k: int) -> Column:
+        """Each window of x with the one of y that begins k words later."""
+        return F.zip_with(x, F.slice(y, F.lit(k + 1), F.greatest(F.size(y) - k, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+
+    def of(powers: dict[int, Column], n: int) -> Column:
+        out, done = None, 0
+        for p in sorted(powers, reverse=True):
+            if (n - done) // p:
+                out = powers[p] if out is None else joined(out, powers[p], done)
+                done += p
+        return F.slice(out, F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(0)))
+
+    def level(powers: dict[int, Column]) -> Column:
+        p = max(powers)
+        if 2 * p <= max(sizes):
+            return let(joined(powers[p], powers[p], p), lambda x: level({**powers, 2 * p: x}))
+        return F.array(*[F.struct(F.lit(n).alias("n"), of(powers, n).alias("hs")) for n in sizes])
+
+    return let(F.transform(ws, lambda w: F.xxhash64(w)), lambda x: level({1: x}))
+
+
 def windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
-    """Distinct windows of items (item_id, text): probe (its longest word), at (that word's place), ws, items."""
-    long_first = F.array_max(F.transform("ws", lambda w, i: F.struct(F.length(w).alias("n"), w.alias("w"), (-i).alias("i"))))
-    return (
+    """Windows of items (item_id, text): item, n, said (its words, joined by spaces, which no word holds), h."""
+    cut = (
         items.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("all"))
         .where(F.size("all") > 0)
         .select("item", "all", F.explode(F.sequence(F.lit(1), F.greatest(F.size("all") - n + 1, F.lit(1)))).alias("k"))
         .select("item", F.slice("all", F.col("k"), F.lit(n)).alias("ws"))
-        .groupBy("ws")
-        .agg(F.collect_set("item").alias("items"))
-        .withColumn("top", long_first)
-        .select(F.col("top.w").alias("probe"), (-F.col("top.i")).alias("at"), "ws", "items")
     )
+    own = F.filter(window_hashes(F.col("ws"), list(range(1, n + 1))), lambda x: x["n"] == F.size("ws"))[0]["hs"][0]
+    return cut.select("item", F.size("ws").alias("n"), F.array_join("ws", " ").alias("said"), own.alias("h")).distinct()
 
 
 def scan(docs: DataFrame, items: DataFrame, scratch: Scratch, n: int = WINDOW) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_words, hits (start and length of each window that occurs), items."""
     table = scratch.keep(windows(items, n), "windows")
-    probes = table.select("probe").distinct()
-    found = [r[0] for r in probes.limit(SET_WORDS + 1).collect()]
-    table = F.broadcast(table) if table.count() <= BROADCAST_WINDOWS else table
+    sizes = sorted(r[0] for r in table.select("n").distinct().collect()) or [n]  # n of them at most
+    hashes = scratch.keep(table.select("h").distinct().unionByName(docs.sparkSession.range(1).select(F.lit(SELF).cast("long").alias("h"))), "hashes")
     base = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", words(F.col("text")).alias("ws"))
-    if len(found) <= SET_WORDS:
-        # words hold no quote or backslash: all of ASCII but digits and small letters separates words
-        inside = ", ".join(f"'{w}'" for w in found) or "''"
-        places = F.expr(f"array_compact(transform(ws, (w, i) -> IF(w IN ({inside}), named_struct('probe', w, 'i', i), NULL)))")
-    else:
-        places = F.expr("transform(ws, (w, i) -> named_struct('probe', w, 'i', i))")
-    placed = base.select("uid", "doc_id", F.size("ws").alias("n_words"), F.col("ws").alias("all"), places.alias("places"))
-    placed = placed.select("uid", "doc_id", "n_words", "all", F.explode_outer("places").alias("p")).select("uid", "doc_id", "n_words", "all", "p.probe", "p.i")
-    start = F.col("i") - F.col("at")
-    fits = (F.col("d.probe") == F.col("t.probe")) & (start >= 0) & (F.slice("all", F.greatest(start, F.lit(0)) + 1, F.size("t.ws")) == F.col("t.ws"))
-    hit = F.when(F.col("at").isNotNull(), F.struct(start.alias("start"), F.size("t.ws").alias("n")))
-    return (
-        placed.alias("d")
-        .join(table.alias("t"), fits, "left")
-        .groupBy("uid", "doc_id", "n_words")
-        .agg(F.collect_set(hit).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-        .select("uid", "doc_id", F.col("n_words").cast("long").alias("n_words"), "hits", "items")
+    own = F.array(F.struct(F.lit(0).alias("n"), F.array(F.lit(SELF).cast("long")).alias("hs")))
+    base = base.select("uid", "doc_id", "ws", F.explode(F.concat(own, window_hashes(F.col("ws"), sizes))).alias("w"))
+    at = base.select("uid", "doc_id", "ws", F.col("w.n").alias("n"), F.posexplode("w.hs").alias("start", "h"))
+    met = at.join(F.broadcast(hashes), "h") if hashes.count() <= BROADCAST_HASHES else with_ids_among(at, "h", hashes)
+    met = met.select(
+        "uid", "doc_id", F.when(F.col("n") == 0, F.size("ws").cast("long")).alias("n_words"), "start", "n",
+        F.when(F.col("n") > 0, F.array_join(F.slice("ws", F.col("start") + 1, F.col("n")), " ")).alias("said"),
+    )
+    met = scratch.keep(met, "candidates")
+    rows = met.where("n = 0").select("uid", "doc_id", "n_words")
+    sure = met.where("n > 0").join(table.select("said").distinct(), "said").select("uid", F.struct("start", "n").alias("hit"), "said")
+    named = sure.select("uid", "said").distinct().join(table.where("item IS NOT NULL").select("said", "item"), "said").select("uid", "item").distinct()
+    every = (
+        rows.unionByName(sure.select("uid", "hit"), allowMissingColumns=True)
+        .unionByName(named, allowMissingColumns=True)
+        .groupBy("uid")
+        .agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.collect_set("item").alias("items"))
     )
+    return every.select("uid", "doc_id", "n_words", "hits", "items")
 
 
 def hit_words(hits: Column) -> Column:

@@ -448,16 +448,32 @@ def test_decontamination_equals_brute_force(spark, scratch, odd, odd_rows):
                     ids |= {str(o) for o in owners if o is not None}
         want[(d, len(ws), len(hit), ",".join(sorted(ids)))] += 1
     table = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (decontam.SET_WORDS, 1):
-        decontam.SET_WORDS, old = limit, decontam.SET_WORDS
+    for limit in (decontam.BROADCAST_HASHES, 1):
+        decontam.BROADCAST_HASHES, old = limit, decontam.BROADCAST_HASHES
         found = decontam.scan(odd, table, scratch()).collect()
-        decontam.SET_WORDS = old
+        decontam.BROADCAST_HASHES = old
         places = [set(p for h in r.hits for p in range(h.start, h.start + h.n)) for r in found]
         assert Counter((r.doc_id, r.n_words, len(p), ",".join(sorted(r["items"]))) for r, p in zip(found, places, strict=True)) == want
     assert decontam.scan(empty(spark), table, scratch()).count() == 0
     assert decontam.scan(odd, table.limit(0), scratch()).where(F.size("hits") > 0).count() == 0
 
 
+def test_many_windows_and_a_long_text(spark, scratch):
+    r = random.Random(3)
+    item = [f"w{r.randrange(10**6)}" for _ in range(200_009)]
+    text = [r.choice(VOCAB) for _ in range(100_000)]
+    text[50_000:50_030] = item[777:807]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, "w1 w2"), (3, " ".join(item[-10:]))], "doc_id long, text string")
+    found = {}
+    for limit in (decontam.BROADCAST_HASHES, 1):
+        decontam.BROADCAST_HASHES, old = limit, decontam.BROADCAST_HASHES
+        out = decontam.scan(docs, spark.createDataFrame([(9, " ".join(item))], "item_id long, text string"), scratch()).collect()
+        decontam.BROADCAST_HASHES = old
+        found[limit] = {x.doc_id: (x.n_words, sorted(tuple(h) for h in x.hits), x["items"]) for x in out}
+    assert len({str(sorted(v.items())) for v in found.values()}) == 1
+    assert found[1] == {1: (100_000, [(k, 10) for k in range(50_000, 50_021)], ["9"]), 2: (2, [], []), 3: (10, [(0, 10)], ["9"])}
+
+
 # --- 6 language ---
 
 
