@@ -7,13 +7,16 @@ longest tail whose bounds together cannot lift a vector from its floor past the
 postings are traversed, block by block of terms, and vectors whose score so far plus the rest's bound stays below the
 k-th score leave. What is left is probed in the non-essential terms. Shards' lists are merged by (score, vec_id).
 
-The k-th score to beat starts from the exact scores of the vectors that look best in the largest terms.
+The k-th score to beat starts from the query's k-th best score in one seed shard, so that the other shards return only
+vectors that may be among the k best of all, and grows with the exact scores of the vectors that look best in the largest
+terms. Shards stay where they are: query blocks go to all of them by broadcast, ROUND_BYTES at a time.
 
 Cases: vectors that are null, or hold null or non-finite components, take no part, neither as queries nor as
 candidates; vectors of another length than a query's are no candidates of it; rows that repeat a query's vec_id are
 that query's own rows and no candidates, all other repeated rows are candidates each; equal repeated query rows are
 asked once, and answers to unequal ones are merged under their query_id; a null vec_id takes no part; an empty table
-gives no rows.
+gives no rows. Scores are exact for any finite components; the query fails where a score of the k best, or a component
+times 64, does not fit into 64 bits.
 """
 
 from __future__ import annotations
@@ -29,10 +32,27 @@ from .common import Scratch
 
 SCALE = 64
 SHARD = 8192
-QUERY_BLOCK = 512
+QUERY_BLOCK = 1024
 STEP = 16
+#: Bytes of query blocks that are broadcast at a time.
+ROUND_BYTES = 32 << 20
 #: Integer sums below 2^24 are exact in float32, which BLAS multiplies fastest.
 EXACT32 = 1 << 24
+NONE = np.iinfo(np.int64).min
+
+
+def integers(x: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x), as 32-bit numbers where they fit."""
+    v = np.floor(SCALE * x.astype(np.float64))
+    most = np.abs(v).max(initial=0.0)
+    if not most < 2.0**63:
+        raise OverflowError(f"a component of {most / SCALE} times {SCALE} does not fit into 64 bits")
+    return v.astype(np.int32 if most < 2.0**31 else np.int64)
+
+
+def matrix_of(raw: bytes, rows: int, d: int) -> np.ndarray:
+    """A packed matrix (rows, d); its width follows from its length."""
+    return np.frombuffer(raw, np.int64 if len(raw) > 4 * rows * d else np.int32).reshape(rows, d)
 
 
 def pack(rows: int):
@@ -58,8 +78,7 @@ def pack(rows: int):
                 for d in np.unique(lengths).tolist():
                     here = np.flatnonzero(lengths == d)
                     at = (ends[here] - d)[:, None] + np.arange(d)[None]
-                    m = np.floor(SCALE * flat[at].astype(np.float64)).astype(np.int64) if d else np.zeros((len(here), 0), np.int64)
-                    open_.setdefault(d, []).append((ids[here], m))
+                    open_.setdefault(d, []).append((ids[here], integers(flat[at]) if d else np.zeros((len(here), 0), np.int32)))
                     if sum(len(x) for x, _ in open_[d]) >= rows:
                         yield block(d)
         for d in list(open_):
@@ -68,8 +87,8 @@ def pack(rows: int):
     return run, "dims int, ids binary, matrix binary"
 
 
-def maxscore(ids: np.ndarray, postings: np.ndarray, own: int, q: np.ndarray, k: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (score, then smaller id) of a shard for query q. ids ascend; postings: (dims, vectors)."""
+def maxscore(ids: np.ndarray, postings: np.ndarray, own: int, q: np.ndarray, k: int, low: np.ndarray, high: np.ndarray, least: int = NONE) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of a shard with their scores, among them the k best (score, then smaller id) for query q that score `least` or more. ids ascend; postings: (dims, vectors)."""
     a, b = q * low, q * high
     floor, bound = np.minimum(a, b), np.maximum(a, b)
     order = np.argsort(floor - bound, kind="stable")  # the widest first
@@ -88,7 +107,7 @@ def maxscore(ids: np.ndarray, postings: np.ndarray, own: int, q: np.ndarray, k:
     at = min(STEP, len(order))
     score = add(0, at, score)
     lead = alive[np.argpartition(score, len(score) - k)[len(score) - k :]]
-    beat = (q @ postings[:, lead]).min()
+    beat = max((q @ postings[:, lead]).min(), least) if least != NONE else (q @ postings[:, lead]).min()
     essential = int(np.searchsorted(-(base + rest), -beat, side="right"))  # from here on, terms can't lift a floor score to beat
     while True:
         if at >= essential:  # a vector at its floor in all essential terms is in none of their postings
@@ -115,45 +134,75 @@ def best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -score[near]))[:k]]
 
 
-def search(k: int):
-    """Rows (shard ids and matrix, query ids and matrix) to each query's k best of the shard."""
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+def exact(ids: np.ndarray, v: np.ndarray, own: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores in Python's integers, for products that 64 bits can't hold."""
+    alive = np.flatnonzero(ids != own)
+    return alive, np.array([sum(a * b for a, b in zip(q.tolist(), v[i].tolist(), strict=True)) for i in alive], object)
+
+
+def search(k: int, seed: bool = False):
+    """Rows (dims, shard ids and matrix, block, query ids, matrix and least scores) to each query's k best of the shard; with seed, to (block, each query's k-th score)."""
+    schema = pa.schema([("block", pa.int64()), ("least", pa.binary())]) if seed else pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                d = batch.column(0)[row].as_py()
-                ids, qids = (np.frombuffer(batch.column(c)[row].as_py(), np.int64) for c in (1, 3))
-                v, q = (np.frombuffer(batch.column(c)[row].as_py(), np.int64).reshape(-1, d) for c in (2, 4))
-                most = int(np.abs(v).max(initial=0)) * int(np.abs(q).max(initial=0)) * 4 * max(d, 1)
+                d, raw_ids, raw_matrix, number, raw_qids, raw_queries, raw_least = (c[row].as_py() for c in batch.columns)
+                ids, qids = np.frombuffer(raw_ids, np.int64), np.frombuffer(raw_qids, np.int64)
+                v, q = matrix_of(raw_matrix, len(ids), d), matrix_of(raw_queries, len(qids), d)
+                least = np.frombuffer(raw_least, np.int64) if raw_least else np.full(len(qids), NONE)
+                most = int(np.abs(v.astype(np.float64)).max(initial=0)) * int(np.abs(q.astype(np.float64)).max(initial=0)) * 4 * max(d, 1)
+                large = most >= 1 << 62
                 kind = np.float32 if most < EXACT32 else np.float64 if most < 1 << 53 else np.int64
-                postings, q = np.ascontiguousarray(v.T).astype(kind), q.astype(kind)
-                low, high = (f(postings, axis=1, initial=0) if d else np.zeros(0, kind) for f in (np.min, np.max))
-                out = []
+                if not large:
+                    postings, asked = np.ascontiguousarray(v.T).astype(kind), q.astype(kind)
+                    low, high = (f(postings, axis=1, initial=0) if d else np.zeros(0, kind) for f in (np.min, np.max))
+                out, kth = [], np.full(len(qids), NONE)
                 for i in range(len(qids)):
-                    alive, score = maxscore(ids, postings, int(qids[i]), q[i], k, low, high)
+                    alive, score = exact(ids, v, int(qids[i]), q[i]) if large else maxscore(ids, postings, int(qids[i]), asked[i], k, low, high, int(least[i]))
                     top = best(ids[alive], score, k)
-                    out.append((np.full(len(top), qids[i]), ids[alive[top]], score[top].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
+                    if seed:
+                        if len(top) >= k and -(1 << 62) < score[top[k - 1]] < 1 << 62:
+                            kth[i] = int(score[top[k - 1]])
+                    elif len(top):
+                        out.append((np.full(len(top), qids[i]), ids[alive[top]], np.array([int(x) for x in score[top]], np.int64) if large else score[top].astype(np.int64)))
+                if seed:
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([kth.tobytes()], pa.binary())], schema=schema)
+                elif out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
+
+    return run, "block long, least binary" if seed else "query_id long, vec_id long, score long"
+
 
-    return run, "query_id long, vec_id long, score long"
+PAIR = ("dims", "ids", "matrix", "block", "qids", "queries", "least")
 
 
-def exact_topk(vectors: DataFrame, is_query, scratch: Scratch, k: int, shard: int = SHARD, query_block: int = QUERY_BLOCK) -> DataFrame:
+def exact_topk(vectors: DataFrame, is_query, scratch: Scratch, k: int, shard: int = SHARD, query_block: int = QUERY_BLOCK, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """vectors (vec_id, embedding), is_query a condition on vec_id: query_id, rank, vec_id, score."""
     x = F.col("embedding")
     good = F.col("vec_id").isNotNull() & x.isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     usable = vectors.where(F.coalesce(good, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding"))
     run, schema = pack(shard)
     shards = scratch.keep(usable.mapInArrow(run, schema), "shards")
+    asked = scratch.keep(usable.where(is_query).dropDuplicates(["vec_id", "embedding"]), "asked")
     run, schema = pack(query_block)
-    asked = scratch.keep(usable.where(is_query).dropDuplicates(["vec_id", "embedding"]).coalesce(8).mapInArrow(run, schema).select(F.monotonically_increasing_id().alias("block"), "dims", F.col("ids").alias("qids"), F.col("matrix").alias("queries")), "queries")
-    # the stated query set against all rows, in packed blocks: each shard goes to each query block of its length once
-    blocks = asked.groupBy("dims").agg(F.collect_list("block").alias("blocks"))
-    pairs = shards.join(blocks, "dims").select("dims", "ids", "matrix", F.explode("blocks").alias("block")).join(asked.drop("dims"), "block")
-    run, schema = search(k)
-    parts = 2 * max(vectors.sparkSession.sparkContext.defaultParallelism, asked.count())
-    found = pairs.select("dims", "ids", "matrix", "qids", "queries").repartition(parts).mapInArrow(run, schema)
+    n = max(1, -(-asked.count() // query_block))
+    asked = asked.repartition(n).mapInArrow(run, schema).select(F.monotonically_increasing_id().alias("block"), "dims", F.col("ids").alias("qids"), F.col("matrix").alias("queries"))
+    asked = scratch.keep(asked, "queries")
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("queries") + 2 * F.octet_length("qids")), F.lit(0))).first()[0]
+    rounds = max(1, -(-size // round_bytes))
+    # the stated query set against all rows: each shard meets each query block of its length once, in some round
+    tasks = max(vectors.sparkSession.sparkContext.defaultParallelism, min(10_000, shards.count()))
+    seeds = scratch.keep(shards.groupBy("dims").agg(F.max_by(F.struct("ids", "matrix"), F.octet_length("ids")).alias("s")).select("dims", "s.ids", "s.matrix"), "seeds")
+    found: DataFrame | None = None
+    for r in range(rounds):
+        here = asked.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == r)
+        run, schema = search(k, seed=True)
+        least = F.broadcast(here).join(seeds, "dims").withColumn("least", F.lit(None).cast("binary")).select(*PAIR).repartition(n).mapInArrow(run, schema)
+        here = scratch.keep(here.join(scratch.keep(least, f"least-{r}"), "block", "left"), f"round-{r}")
+        run, schema = search(k)
+        part = scratch.keep(shards.repartition(tasks).join(F.broadcast(here), "dims").select(*PAIR).mapInArrow(run, schema), f"found-{r}")
+        found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -717,7 +717,23 @@ def test_topk_equals_brute_force(spark, scratch):
     for q, x in {i: v for i, v in good if i % 20 == 0}.items():
         near = sorted((-int(x @ v), i) for i, v in good if i != q and len(v) == len(x))[:20]
         want |= {(q, rank, i, -s) for rank, (s, i) in enumerate(near, 1)}
-    for shard, block in ((64, 4), (8192, 512)):
-        got = topk.exact_topk(table, F.col("vec_id") % 20 == 0, scratch(), 20, shard, block).collect()
+    for shard, block, size in ((64, 4, 1000), (8192, 512, 1 << 20)):
+        got = topk.exact_topk(table, F.col("vec_id") % 20 == 0, scratch(), 20, shard, block, size).collect()
         assert {tuple(g) for g in got} == want
     assert topk.exact_topk(table.limit(0), F.col("vec_id") % 20 == 0, scratch(), 20).count() == 0
+
+
+def test_topk_of_huge_components(spark, scratch):
+    r = random.Random(2)
+    rows = [(i, [r.choice([-1.0, 1.0]) * r.random() * 2.0 ** r.choice([3, 20, 23.5]) for _ in range(3)]) for i in range(60)]
+    table = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    for scale in (1, 2):
+        ints = {i: [int(np.floor(64 * x * scale)) for x in v] for i, v in rows}
+        want = {(q, k, i, s) for q in ints if q % 20 == 0 for k, (s, i) in enumerate(sorted(((sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q), key=lambda x: (-x[0], x[1]))[:5], 1)}
+        got = topk.exact_topk(table([(i, [x * scale for x in v]) for i, v in rows]), F.col("vec_id") % 20 == 0, scratch(), 5, 16, 2).collect()
+        assert {tuple(g) for g in got} == want
+    with pytest.raises(Exception, match="64 bits"):
+        topk.exact_topk(table([(20, [1e300]), (1, [1.0])]), F.col("vec_id") % 20 == 0, scratch(), 5).collect()
+    with pytest.raises(Exception, match="too large|too big|overflow"):
+        topk.exact_topk(table([(20, [2.0**40]), (1, [2.0**40])]), F.col("vec_id") % 20 == 0, scratch(), 5).collect()
