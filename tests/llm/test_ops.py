@@ -686,9 +686,32 @@ def test_rollup_batches_are_applied_once(spark, scratch, odd):
     assert [tuple(r) for r in roll.totals().collect()] == want and not roll.commit("2", feed())
     roll.commit("3", feed(row("insert", 1)))
     assert [tuple(r) for r in roll.totals().collect()] == [("a", "en", "t", 2, 13)]
-    with pytest.raises(Exception, match="unknown change"):
-        roll.commit("4", feed(row("oops", 1)))
-    assert not roll.committed("4")
+    roll.compact()
+    assert [tuple(r) for r in roll.totals().collect()] == [("a", "en", "t", 2, 13)] and not roll.commit("1", feed()) and not roll.commit("3", feed())
+    for bad in (row("oops", 1), row(None, 1), row("insert", None), row("delete", None), row("revise", 5), row("revise", None, 5)):
+        with pytest.raises(Exception, match="unknown change|a count is missing"):
+            roll.commit("4", feed(row("insert", 3), bad))
+    assert not roll.committed("4") and [tuple(r) for r in roll.totals().collect()] == [("a", "en", "t", 2, 13)]
+    assert roll._create(f"{root}/once", "x") and not roll._create(f"{root}/once", "y")
+    with pytest.raises(ValueError):
+        roll.commit("../x", feed())
+
+
+def test_token_count_query_equals_brute_force(spark):
+    import os
+
+    import tiktoken
+
+    if not os.path.isdir(rollups.TOKENIZERS):
+        pytest.skip("no tokenizers")
+    e = tiktoken.Encoding("own", pat_str=rollups.PATTERN, mergeable_ranks=rollups.ranks(rollups.TOKENIZERS), special_tokens={})
+    sf, want = "/root/testdata/sf0.001", {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        for name, n in ((rollups.WORDS, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))), (rollups.BPE, len(e.encode_ordinary(r.text or "")))):
+            docs, tokens = want.get((r.source, r.lang, name), (0, 0))
+            want[r.source, r.lang, name] = (docs + 1, tokens + n)
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollups.op9_token_counts(spark, sf).collect()}
+    assert got == want
 
 
 def test_token_counts_equal_the_tokenizer(spark, odd, odd_rows):
