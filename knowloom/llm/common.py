@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -40,9 +41,11 @@ def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a local master, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="knowloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -105,17 +108,32 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, total: int, ho
     return warm.unionByName(cold)
 
 
-def with_ids_among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows of df whose key is among ids (one column), and a few others whose hash falls together with one.
+def among(df: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
+    """The rows of df as `row`, their key as `key`, and whether it `maybe` is among ids (one column): true for all that are, and for a few others.
 
     A filter before a join: df's rows are not shuffled. The ids become a bitmap of BITMAP_BITS hashed bits in 4 KB
     pieces, 16 MB at most as a broadcast table whatever their number; with very many ids it just lets more rows through.
     """
     hashed = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(BITMAP_BITS))
-    pieces = ids.select(hashed.alias("h")).groupBy(F.floor(F.col("h") / 32768).alias("__piece")).agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("__bits"))
-    marked = df.withColumn("__h", F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))).withColumn("__piece", F.floor(F.col("__h") / 32768))
-    byte = F.expr("CAST(conv(hex(substring(__bits, CAST(__h % 32768 DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)")
-    return marked.join(F.broadcast(pieces), "__piece").where(F.getbit(byte, (F.col("__h") % 8).cast("int")) == 1).select(*df.columns)
+    pieces = ids.select(hashed.alias("h")).groupBy(F.floor(F.col("h") / 32768).alias("piece")).agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("bits"))
+    marked = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias("key"))
+    marked = marked.withColumn("h", F.pmod(F.xxhash64("key"), F.lit(BITMAP_BITS))).withColumn("piece", F.floor(F.col("h") / 32768))
+    byte = F.expr("CAST(conv(hex(substring(bits, CAST(h % 32768 DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)")
+    maybe = F.coalesce(F.getbit(byte, (F.col("h") % 8).cast("int")) == 1, F.lit(False))
+    return marked.join(F.broadcast(pieces), "piece", "left").select("row", "key", maybe.alias("maybe"))
+
+
+def with_ids_among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose key is among ids (one column), and a few others whose hash falls together with one."""
+    return among(df, F.col(f"`{key}`"), ids).where("maybe").select("row.*")
+
+
+def without(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of df whose key is not among gone (one column); only rows that a bitmap can't clear are shuffled. A null key is not among any."""
+    marked = among(df, key, gone)
+    name = gone.columns[0]
+    rest = marked.where("maybe").join(gone.select(F.col(name).alias("gone")).distinct(), F.col("key") == F.col("gone"), "left_anti")
+    return marked.where("NOT maybe").select("row.*").unionByName(rest.select("row.*"))
 
 
 def ascii_lower(col: Column) -> Column:

@@ -29,6 +29,8 @@ SHARD_SLOTS = 4096
 ROUNDS = 12
 SEED = 20240717
 GRID = 4096
+#: Shards whose drawn slots are summed up in one task.
+SPAN = 4096
 
 
 @dataclass
@@ -134,8 +136,13 @@ def mix(
         .groupBy("shard", "source_id", "n_blocks", "quota")
         .agg(F.count("*").alias("drawn"))
     )
-    running = Window.partitionBy("source_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    draws = scratch.keep(draws.withColumn("offset", F.coalesce(F.sum("drawn").over(running), F.lit(0))), "draws")
+    # running sums in two levels, so that the shards of one source are not in one task
+    draws = scratch.keep(draws.withColumn("span", F.floor(F.col("shard") / SPAN)), "draws")
+    running = Window.partitionBy("source_id", "span").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    spans = draws.groupBy("source_id", "span").agg(F.sum("drawn").alias("all_drawn"))
+    earlier = Window.partitionBy("source_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("source_id", "span", F.coalesce(F.sum("all_drawn").over(earlier), F.lit(0)).alias("span_start"))
+    draws = draws.withColumn("inside", F.coalesce(F.sum("drawn").over(running), F.lit(0))).join(spans, ["source_id", "span"]).withColumn("offset", F.col("span_start") + F.col("inside")).drop("span", "span_start", "inside")
     n_shards = -(-total // shard_slots)
     short = (
         live.join(draws.groupBy("source_id").agg(F.sum("drawn").alias("all_drawn")), "source_id", "left")

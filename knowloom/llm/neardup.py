@@ -7,8 +7,11 @@
 3. First each bucket's members are compared with its smallest and largest id, which joins dense groups in time
    linear in their size. The pairs that are not pruned make clusters of similar documents. In clusters that still
    hold several components all pairs across components are compared, in blocks of a cluster, so that no group of
-   any size is in one task; a block gives only the links that join components, not its pairs. Last, the members of a
-   bucket that are in different clusters are compared in the same way, each pair in the first band that it shares.
+   any size is in one task; a block gives only the links that join components, not its pairs. Members of the largest
+   component meet no block of their own component, so with n members, r of them outside it, r * n pairs are compared
+   and r * n / CLUSTER_BLOCK rows are sent: linear in n while r is a block or two, and quadratic only where most
+   members of a cluster are linked with few others. Last, the members of a bucket that are in different clusters are
+   compared in the same way, each pair in the first band that it shares.
 4. Each comparison reads the signatures batch by batch and stops where, after m of n equal hashes, the posterior
    probability (uniform prior) of the threshold similarity is below `miss`.
 5. Survivors are verified on their full shingle sets, and linked ones become connected components.
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, ASCII_UPPER, Scratch, components, join_hot, with_ids_among
 
 BANDS, ROWS, BATCH, MISS = 32, 4, 32, 1e-6
-#: Members of a block of a bucket; members, and shingles, of a block of a cluster.
-BUCKET_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 512, 256, 500_000
+#: Members, and shingles, of a block of a cluster or bucket.
+CLUSTER_BLOCK, CLUSTER_SHINGLES = 256, 500_000
 SEED = 11
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans(ASCII_UPPER, ASCII_LOWER)
@@ -274,11 +277,25 @@ def cluster_links(n: int, percent: int, miss: float):
     return run, "a long, b long"
 
 
+def deal(members: DataFrame, key: str, part: str, size: Column, heavy: Column, total: int) -> DataFrame:
+    """members (key, part, rep, ...) of groups that have several parts, with what block_rows needs: large (in the group's largest part), rest and main (blocks of the other parts and of the largest).
+
+    size, heavy: rows' weight, and the blocks that (n, s) rows of that weight make.
+    """
+    parts = members.groupBy(key, part).agg(F.count("*").alias("n"), F.sum(size).alias("s"))
+    groups = parts.groupBy(key).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", F.col(part).alias("p"))).alias("top")).where("n > top.n")
+    blocks = lambda n, s: F.ceil(F.greatest(n / F.lit(float(CLUSTER_BLOCK)), s / heavy)).cast("long")
+    groups = groups.select(key, F.col("n"), blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("rest"), blocks(F.col("top.n"), F.col("top.s")).alias("main"), F.col("top.p").alias("top"))
+    return join_hot(members, groups, key, "n", total).withColumn("large", F.col(part) == F.col("top")).drop("top")
+
+
 def block_rows(members: DataFrame, key: str) -> DataFrame:
-    """members (key, rep, blocks, ...), each dealt to a block, to rows of all the pairs (i, j) of blocks that it belongs to."""
-    rows = members.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    """members (key, rep, large, rest, main, ...), each dealt to a block, to rows of all the pairs (i, j) of blocks that it belongs to, but for pairs inside the largest part."""
+    mine = F.when(F.col("large"), F.col("rest") + F.pmod(F.xxhash64("rep"), F.col("main"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("rest")))
+    others = F.when(F.col("large"), F.col("rest")).otherwise(F.col("rest") + F.col("main"))
+    rows = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    rows = rows.select("*", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side")).drop("mine", "other", "blocks")
+    rows = rows.select("*", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side")).drop("mine", "other", "large", "rest", "main")
     return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
@@ -349,8 +366,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int, percent: int, ban
         reps = linker.sigs = reps.dropDuplicates(["rep"])
 
     members = reps.select("rep", F.posexplode("bands").alias("band", "bkey"))
-    buckets = scratch.keep(members.groupBy("bkey").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("c")).where("c > 1"), "buckets")
-    shared = scratch.keep(join_hot(members, buckets.withColumn("n", F.col("c")), "bkey", "n", total), "shared")
+    buckets = scratch.keep(members.groupBy("bkey").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    shared = scratch.keep(join_hot(members, buckets, "bkey", "n", total), "shared")
     stars = shared.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).unionByName(shared.where("rep <> hi").select(F.col("rep").alias("a"), F.col("hi").alias("b")))
     similar = linker.pruned(stars.distinct(), "stars")
     clusters = components(scratch, similar, "clusters").select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
@@ -360,9 +377,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int, percent: int, ban
     inside = clusters.unionByName(clusters.select(F.col("cluster").alias("rep"), "cluster").distinct())
     inside = inside.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(reps.select("rep", "n_shingles"), "rep")
     inside = scratch.keep(inside, "inside")
-    sizes = inside.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-    blocks = F.ceil(F.greatest(F.col("n") / CLUSTER_BLOCK, F.col("s") / CLUSTER_SHINGLES)).cast("long")
-    open_ = scratch.keep(join_hot(inside, sizes.select("cluster", "n", blocks.alias("blocks")), "cluster", "n", total).select("cluster", "rep", "comp", "blocks"), "open")
+    open_ = scratch.keep(deal(inside, "cluster", "comp", F.col("n_shingles"), F.lit(float(CLUSTER_SHINGLES)), total).drop("n_shingles"), "open")
     sets = linker.sets(open_.select("rep"), "open")
     sets = sets.dropDuplicates(["rep"]) if linker.copies else sets
     run, schema = cluster_links(n, percent, miss)
@@ -371,10 +386,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int, percent: int, ban
     scratch.drop("sets-open")
 
     # buckets of several clusters
-    named = shared.join(inside.select("rep", "cluster"), "rep", "left").select("bkey", "band", "rep", "c", F.coalesce("cluster", "rep").alias("cluster"))
+    named = shared.join(inside.select("rep", "cluster"), "rep", "left").select("bkey", "band", "rep", F.coalesce("cluster", "rep").alias("cluster"))
     named = scratch.keep(named, "named")
-    wide = named.groupBy("bkey").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"), F.count("*").alias("n")).where("x <> y").select("bkey", "n")
-    wide = join_hot(named, wide, "bkey", "n", total).withColumn("blocks", F.ceil(F.col("c") / BUCKET_BLOCK).cast("long"))
+    wide = deal(named, "bkey", "cluster", F.lit(1), F.lit(float(CLUSTER_BLOCK)), total)
     run, schema = bucket_pairs(n, percent / 100, miss)
     rows = block_rows(wide.join(reps.select("rep", "sig"), "rep"), "bkey").select("bkey", "i", "j", "band", "side", "rep", "cluster", "sig")
     last = linker.linked(scratch.keep(rows.mapInArrow(run, schema), "pruned-buckets"), "buckets")

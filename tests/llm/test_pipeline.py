@@ -5,7 +5,8 @@ import pytest
 
 from knowloom.llm import common
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, comp string, hits int"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, comp string, hits int, __h long, __row string, __said string, score double, lang_pred string, row string, key long, maybe int, gone string, uid string, n int, label string, h string, piece string, nth int, taken string, size int"
+EXTRA = ("x", 1, 2, "r", "s", 0.5, "lp", "rr", 3, 4, "g", "u", 5, "l", "hh", "p", 6, "t", 7)
 
 
 @pytest.fixture(scope="module")
@@ -13,9 +14,9 @@ def tables(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("sf"))
     words = ["thing", "ander", "verbund", "schein", "hausen", "other", "stone", "river", "green", "winter", "summer", "broken"]
     say = lambda i, n=40: " ".join(words[(i * 7 + j * (1 + i % 5) + j * j * i) % 12] + str(chr(97 + (i + j) % 26)) for j in range(n))
-    rows = [(i, say(i), "en", "ab"[i % 2], 3, "x", 1) for i in range(1, 30)]
-    rows += [(50, say(3), "en", "a", 1, "x", 1), (51, None, "en", "a", 1, "x", 1), (52, "", "en", None, 0, "x", 1), (53, "12 !!", "en", "a", 0, "x", 1)]
-    rows += [(54, "intro words here " + say(99, 30) + " tail", "en", "a", 0, "x", 1), (55, say(60) + " mail bob@mail.example.com", "en", "b", 0, "x", 1), (5, say(5), "en", "b", 3, "x", 1), (None, say(70), "en", "a", 0, "x", 1)]
+    rows = [(i, say(i), "en", "ab"[i % 2], 3, *EXTRA) for i in range(1, 30)]
+    rows += [(50, say(3), "en", "a", 1, *EXTRA), (51, None, "en", "a", 1, *EXTRA), (52, "", "en", None, 0, *EXTRA), (53, "12 !!", "en", "a", 0, *EXTRA)]
+    rows += [(54, "intro words here " + say(99, 30) + " tail", "en", "a", 0, *EXTRA), (55, say(60) + " mail bob@mail.example.com", "en", "b", 0, *EXTRA), (5, say(5), "en", "b", 3, *EXTRA), (None, say(70), "en", "a", 0, *EXTRA)]
     spark.createDataFrame(rows, COLUMNS).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, say(99, 30))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return folder
@@ -29,6 +30,7 @@ def test_stages(spark, tables):
         docs = scratch.keep(stage(spark, docs, tables), name)
         if k < 4:
             assert docs.columns == columns
+            assert all(tuple(r)[5:] == EXTRA for r in docs.collect())
             kept[name] = sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect())
             texts = {r.doc_id: r for r in docs.collect()}
     ids = {k: {i for none, i in v if not none} for k, v in kept.items()}
