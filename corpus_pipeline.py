@@ -8,55 +8,60 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knowloom.llm import decontam, langid, mixing, neardup, pii
-from knowloom.llm.common import Scratch
+from knowloom.llm.common import Scratch, among, without
 
 #: Texts whose language is less sure than this go.
 MIN_LANGUAGE_SCORE = 0.4
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
+def whole(docs: DataFrame) -> Column:
+    """A row as one column, so that no column of docs meets a name that a stage uses."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter (or null), and those of no clear language; if nothing is labelled, nothing can be judged and all stay."""
-    model = langid.learned(docs)
+    """Rejects texts without a letter (or null), and those of no clear language; if nothing is labelled, nothing can be judged and all stay. Repeated rows are judged each."""
+    model = langid.learned(docs.select("doc_id", "text", "lang"))
     if not model.langs:
         return docs
-    own = tuple(docs.columns)
-    judged = langid.predict(docs, model, keep=own).toDF(*own, "__said", "__score")
-    return judged.where((F.col("__said") != langid.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*own)
+    judged = langid.predict(docs.select(whole(docs), "text"), model, keep=("row",))
+    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates (one row of it), and all rows without doc_id."""
-    found = neardup.near_duplicates(docs.select("doc_id", "text"), Scratch(spark, "pipeline"), SHINGLE_WORDS, SIMILAR_PERCENT)
-    kept = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    rest = docs.join(kept, "doc_id").select(*docs.columns)
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return rest.withColumn("__row", one).where(F.col("__row") == 1).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Keeps the smallest doc_id of each group of near duplicates (one row of it), and all rows without doc_id. Only rows that may go are shuffled."""
+    scratch = Scratch(spark, "pipeline")
+    found = neardup.near_duplicates(docs.select("doc_id", "text"), scratch, SHINGLE_WORDS, SIMILAR_PERCENT)
+    found = scratch.keep(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1"), "judged")
+    once = without(docs, F.col("doc_id"), found.select("doc_id"))
+    repeated = among(docs, F.col("doc_id"), found.where("kept").select("doc_id")).where("maybe").join(found.where("kept").select(F.col("doc_id").alias("key")), "key")
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row.text")))
+    return once.unionByName(repeated.withColumn("nth", first).where("nth = 1").select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item. Rows of one doc_id go together; those without doc_id are judged by their text."""
+    """Drops documents that hold a window of a benchmark item; null texts stay. Rows of one doc_id and text go together, those without doc_id by their text. Only rows that may go are shuffled."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     scratch = Scratch(spark, "pipeline")
-    found = decontam.scan(docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text"), items, scratch)
-    leaked = scratch.keep(found.where(F.size("hits") > 0).select("doc_id.doc_id", "doc_id.h").distinct(), "leaked")
-    marked = docs.withColumn("__h", F.xxhash64("text")).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.__h") == F.col("l.h"))
-    return marked.join(leaked.alias("l"), same, "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    key = F.struct("doc_id", F.xxhash64("text").alias("h"))
+    found = decontam.scan(docs.select(key.alias("doc_id"), "text"), items, scratch)
+    leaked = scratch.keep(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("gone")).distinct(), "leaked")
+    return without(docs, key, leaked)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind's mark; n_chars, where there is such a column, follows the text."""
+    """Replaces personal data by its kind's mark; n_chars, where there is such a column, follows the text. Null and empty texts stay as they are, repeated rows are masked each."""
     out = pii.mask(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, with doc_id, size, source_size, target and taken (words that the mix takes). Those of which it takes none are left out."""
+    """The documents of the mix, with doc_id, size, source_size, target and taken (words that the mix takes). Those of which it takes none, so null and empty texts too, are left out; repeated rows are documents each."""
     mixed = mixing.mix(docs.select("doc_id", "text", "source"), Scratch(spark, "pipeline"))
     return mixing.taken(mixed).where("taken > 0").drop("uid")
 
