@@ -1,29 +1,31 @@
-"""Tolerant reading of extracted JSON: what does not fit is defaulted or dropped, item by item."""
+"""Tolerant reading of extracted JSON: what does not fit is defaulted or marked, item by item. One chunk in, one typed row out."""
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
+INT32 = 1 << 31
+
 
 def _dicts(x: Any) -> list[dict]:
     return [i for i in x if isinstance(i, dict)] if isinstance(x, list) else []
 
 
 def lax_int(x: Any) -> int | None:
-    """An int, or what plainly is one: whole floats, booleans, and text of either. ValueError otherwise."""
+    """A 32-bit int, or what plainly is one: whole floats, booleans, and text of either. ValueError otherwise."""
     if x is None:
         return None
-    if isinstance(x, (bool, int)):
-        return int(x)
-    if isinstance(x, float) and x.is_integer():
-        return int(x)
     if isinstance(x, str):
         try:
-            return int(x.strip())
+            y: Any = int(x.strip())
         except ValueError:
             y = float(x)
-            if y.is_integer():
-                return int(y)
+    else:
+        y = x
+    if isinstance(y, (bool, int)) or isinstance(y, float) and y.is_integer():
+        if -INT32 <= int(y) < INT32:
+            return int(y)
     raise ValueError(f"not an integer: {x!r}")
 
 
@@ -36,60 +38,52 @@ def source_ref(x: Any) -> dict:
     return {"page": lax_int(x.get("page")), "section": section}
 
 
-def summaries(x: Any) -> dict:
-    if not isinstance(x, dict):
-        return {"document": "", "sections": []}
-    keep = [{k: s[k] for k in ("id", "title", "summary")} for s in _dicts(x.get("sections")) if all(isinstance(s.get(k), str) for k in ("id", "title", "summary"))]
-    return {"document": str(x.get("document", "")), "sections": keep}
+def key(item: dict) -> str | None:
+    """An item's id for merging, of any JSON type; null where there is none."""
+    return json.dumps(item["id"], sort_keys=True) if item.get("id") else None
 
 
-def entities(x: Any) -> list[dict]:
-    out = []
-    for e in _dicts(x):
-        relations = [{"target": r["target"], "type": r["type"]} for r in _dicts(e.get("relations")) if isinstance(r.get("target"), str) and isinstance(r.get("type"), str)]
-        out.append({"id": str(e.get("id", "")), "name": str(e.get("name", "")), "type": str(e.get("type", "concept")), "relations": relations})
-    return out
+def section(s: dict) -> dict:
+    said = {k: s.get(k) for k in ("id", "title", "summary")}
+    return {"ok": all(isinstance(v, str) for v in said.values()), **{k: v if isinstance(v, str) else None for k, v in said.items()}}
 
 
-def facts(x: Any) -> list[dict]:
-    out = []
-    for f in _dicts(x):
-        try:
-            source = source_ref(f.get("source"))
-        except (ValueError, OverflowError):
-            continue
-        try:
-            confidence = float(f.get("confidence", 1.0))
-        except (TypeError, ValueError):
-            confidence = 1.0
-        named = f.get("entities")
-        out.append({"id": str(f.get("id", "")), "claim": str(f.get("claim", "")), "source": source, "confidence": confidence, "entities": [str(e) for e in named] if isinstance(named, list) else []})
-    return out
+def entity(e: dict) -> dict:
+    relations = [{"target": r["target"], "type": r["type"]} for r in _dicts(e.get("relations")) if isinstance(r.get("target"), str) and isinstance(r.get("type"), str)]
+    return {"ok": True, "id": str(e.get("id", "")), "name": str(e.get("name", "")), "type": str(e.get("type", "concept")), "relations": relations}
 
 
-def visuals(x: Any) -> list[dict]:
-    import json
+def fact(f: dict) -> dict:
+    try:
+        source = source_ref(f.get("source"))
+    except (ValueError, OverflowError):
+        return {"ok": False}
+    try:
+        confidence = float(f.get("confidence", 1.0))
+    except (TypeError, ValueError, OverflowError):
+        confidence = 1.0
+    named = f.get("entities")
+    return {"ok": True, "id": str(f.get("id", "")), "claim": str(f.get("claim", "")), "source": source, "confidence": confidence, "entities": [str(e) for e in named] if isinstance(named, list) else []}
 
-    out = []
-    for v in _dicts(x):
-        try:
-            source = source_ref(v.get("source"))
-        except (ValueError, OverflowError):
-            continue
-        context, data = v.get("context"), v.get("structured_data")
-        if context is not None and not isinstance(context, str):
-            continue
-        out.append({"id": str(v.get("id", "")), "type": str(v.get("type", "image")), "source": source, "description": str(v.get("description", "")), "structured_data": json.dumps(data, ensure_ascii=False) if isinstance(data, dict) else None, "context": context})
-    return out
-
-
-def dependencies(x: Any) -> list[str]:
-    return [str(d) for d in x if d is not None] if isinstance(x, list) else []
-
-
-def record(raw: dict) -> dict:
-    """The typed parts of a record; a language that is no text fails the document."""
-    language = raw.get("language", "en")
-    if not isinstance(language, str):
-        raise ValueError("language must be text")
-    return {"summaries": summaries(raw.get("summaries")), "entities": entities(raw.get("entities")), "facts": facts(raw.get("facts")), "visuals": visuals(raw.get("visuals")), "dependencies": dependencies(raw.get("dependencies")), "language": language}
+
+def visual(v: dict) -> dict:
+    context, data = v.get("context"), v.get("structured_data")
+    try:
+        source = source_ref(v.get("source"))
+    except (ValueError, OverflowError):
+        return {"ok": False}
+    if context is not None and not isinstance(context, str):
+        return {"ok": False}
+    return {"ok": True, "id": str(v.get("id", "")), "type": str(v.get("type", "image")), "source": source, "description": str(v.get("description", "")), "structured_data": json.dumps(data, ensure_ascii=False) if isinstance(data, dict) else None, "context": context}
+
+
+def chunk(raw: dict) -> dict:
+    """A chunk's typed row (schema CHUNK_DDL). document is its summary, said the same where there is one; a language that is no text is null."""
+    head = raw["summaries"] if isinstance(raw.get("summaries"), dict) else {}
+    named, language = raw.get("dependencies"), raw.get("language", "en")
+    read = lambda f, xs: [{"key": key(x), **f(x)} for x in _dicts(xs)]
+    return {
+        "document": str(head.get("document", "")), "said": str(head["document"]) if head.get("document") else None, "language": language if isinstance(language, str) else None,
+        "dependencies": [str(d) for d in named if d is not None] if isinstance(named, list) else [],
+        "sections": read(section, head.get("sections")), "entities": read(entity, raw.get("entities")), "facts": read(fact, raw.get("facts")), "visuals": read(visual, raw.get("visuals")),
+    }

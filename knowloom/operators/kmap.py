@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_fold, fts_line, fts_tokens
@@ -12,13 +12,17 @@ def ckus(cku: DataFrame) -> DataFrame:
     return cku.select("id", F.col("meta.source").alias("source"), F.col("meta.compiled").alias("compiled"), F.col("summaries.document").alias("doc_summary"))
 
 
+def last_of_ids(items: str) -> Column:
+    """The items of an array column of which no later one has the same id: within the row, without a shuffle."""
+    ids = F.transform(items, lambda x: x["id"])
+    late = lambda back: F.filter(items, lambda x, i: F.size(items) - F.array_position(back, x["id"]) == i)
+    return F.when(F.size(F.array_distinct(ids)) == F.size(ids), F.col(items)).otherwise(F.transform(F.array(F.reverse(ids)), late)[0])
+
+
 def entities(cku: DataFrame, relations: bool = False) -> DataFrame:
     """id, cku_id, name, type: of repeated ids in a document the last one stays, with its relations only."""
-    rows = cku.select(F.col("id").alias("cku_id"), F.posexplode("entities").alias("pos", "e"))
-    last = Window.partitionBy("cku_id", "e.id").orderBy(F.desc("pos"))
-    rows = rows.withColumn("__rn", F.row_number().over(last)).where("__rn = 1")
-    cols = [F.col("e.id").alias("id"), F.col("cku_id"), F.col("e.name").alias("name"), F.col("e.type").alias("type")]
-    return rows.select(*cols, *([F.col("e.relations").alias("relations")] if relations else []))
+    rows = cku.select(F.col("id").alias("cku_id"), "entities").select("cku_id", F.explode(last_of_ids("entities")).alias("e"))
+    return rows.select(F.col("e.id").alias("id"), "cku_id", F.col("e.name").alias("name"), F.col("e.type").alias("type"), *([F.col("e.relations").alias("relations")] if relations else []))
 
 
 def entity_relations(cku: DataFrame) -> DataFrame:
@@ -32,8 +36,8 @@ def facts_all(cku: DataFrame) -> DataFrame:
 
 
 def facts(cku: DataFrame) -> DataFrame:
-    last = Window.partitionBy("cku_id", "id").orderBy(F.desc("seq"))
-    return facts_all(cku).withColumn("__rn", F.row_number().over(last)).where("__rn = 1").select("id", "cku_id", "claim")
+    rows = cku.select(F.col("id").alias("cku_id"), "facts").select("cku_id", F.explode(last_of_ids("facts")).alias("f"))
+    return rows.select(F.col("f.id").alias("id"), "cku_id", F.col("f.claim").alias("claim"))
 
 
 def topics(cku: DataFrame) -> DataFrame:
@@ -79,14 +83,13 @@ def all_entities(entity: DataFrame) -> DataFrame:
 
 
 def stats(cku: DataFrame) -> DataFrame:
-    parts = [
-        ckus(cku).agg(F.count("*").alias("ckus")), entities(cku).agg(F.count("*").alias("entities")), facts(cku).agg(F.count("*").alias("facts")),
-        entity_relations(cku).agg(F.count("*").alias("relations")), topics(cku).agg(F.countDistinct("topic").alias("topics")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:  # one row each
-        out = out.crossJoin(p)
-    return out
+    """ckus, entities, facts, relations, topics: sums of per-row sizes, and one distinct count."""
+    size = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    relations = F.aggregate(last_of_ids("entities"), F.lit(0), lambda n, e: n + F.greatest(F.size(e["relations"]), F.lit(0)))
+    distinct = lambda c: F.size(F.array_distinct(F.transform(c, lambda x: x["id"])))
+    rows = cku.agg(F.count("*").alias("n_ckus"), size(distinct("entities")).alias("n_entities"), size(distinct("facts")).alias("n_facts"), size(relations).alias("n_relations"))
+    both = rows.unionByName(topics(cku).agg(F.countDistinct("topic").alias("n_topics")), allowMissingColumns=True)
+    return both.agg(*[F.max(f"n_{c}").alias(c) for c in ("ckus", "entities", "facts", "relations", "topics")])
 
 
 def postings(fact: DataFrame) -> DataFrame:

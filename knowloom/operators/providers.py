@@ -26,18 +26,13 @@ class Provider(Protocol):
 
 
 def render(doc: dict) -> str:
-    """A document's pages as text for a prompt. doc: {pages: [{number, text, visuals: [{type, data}]}]}."""
-    out = []
-    for page in doc["pages"]:
-        out += [f"## Page {page['number']}\n", page["text"].strip()]
-        if page.get("visuals"):
-            out.append("\n### Visual Elements on this page:")
-            for i, v in enumerate(page["visuals"], 1):
-                out.append(f"- **Visual {i}** (type: {v['type']})")
-                if v.get("data"):
-                    out.append(f"  {v['data']}")
-        out.append("")
-    return "\n".join(out)
+    """A document's pages as text for a prompt, each page followed by a list of its visuals. doc: {pages: [{number, text, visuals: [{type, data}]}]}."""
+
+    def listed(visuals: list[dict]) -> str:
+        rows = (f"* {v['type']}: {v['data']}" if v.get("data") else f"* {v['type']}" for v in visuals)
+        return "\n\nVisuals:\n" + "\n".join(rows) if visuals else ""
+
+    return "\n\n".join(f"[page {p['number']}]\n{p['text'].strip()}{listed(p.get('visuals') or [])}" for p in doc["pages"])
 
 
 def unfenced(text: str) -> str:
@@ -115,28 +110,27 @@ class CloudProvider(HttpProvider):
 
 
 class RuleProvider:
-    """Ours, for tests and runs without a network: headings are sections, sentences facts, repeated capitalised words entities."""
+    """Ours, for tests and runs without a network: headings are sections, sentences of three words or more facts, their capitalised words entities."""
 
     def get_name(self) -> str:
         return "rules"
 
     def compile_document(self, doc: dict) -> dict[str, Any]:
         out: dict[str, Any] = {"summaries": {"document": "", "sections": []}, "entities": [], "facts": [], "visuals": [], "dependencies": [], "language": doc.get("language", "en")}
-        names: dict[str, int] = {}
+        names: dict[str, None] = {}
         for page in doc["pages"]:
-            for block in re.split(r"\n\s*\n|(?m:^(?=#))", page["text"]):
-                if m := re.match(r"#+\s+(.+)", block):
+            for block in re.split(r"(?m:^(?=#))", page["text"]):
+                if m := re.match(r"#+[ \t]+(\S.*)", block):
                     slug = re.sub(r"\W+", "-", m[1].lower()).strip("-")
                     out["summaries"]["sections"].append({"id": slug, "title": m[1].strip(), "summary": block[m.end() :].strip()[:200]})
                     block = block[m.end() :]
                 for s in re.split(r"(?<=[.!?])\s+|\n", block):
                     if len(s.split()) >= 3:
-                        found = list(dict.fromkeys(re.findall(r"\b[^\W\d_a-z]\w{2,}", s)))
-                        for n in found:
-                            names[n] = names.get(n, 0) + 1
+                        found = list(dict.fromkeys(w for w in re.findall(r"\w+", s) if len(w) >= 3 and w[0].isupper()))
+                        names.update(dict.fromkeys(found))
                         out["facts"].append({"id": f"{page['number']}-{len(out['facts']) + 1}", "claim": s.strip(), "source": {"page": page["number"]}, "entities": [n.lower() for n in found]})
             for v in page.get("visuals") or []:
-                out["visuals"].append({"id": f"v{len(out['visuals']) + 1}", "type": v["type"], "source": {"page": page["number"]}, "description": v.get("data") or v["type"]})
+                out["visuals"].append({"id": f"v{page['number']}-{len(out['visuals']) + 1}", "type": v["type"], "source": {"page": page["number"]}, "description": v.get("data") or v["type"]})
         out["entities"] = [{"id": n.lower(), "name": n, "type": "concept", "relations": []} for n in names]
         out["summaries"]["document"] = out["facts"][0]["claim"] if out["facts"] else ""
         return out

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,88 +15,91 @@ from pyspark.sql import functions as F
 
 from ..cluster import ship
 from ..functions.ids import source_to_id
-from ..functions.text import keyword_score
-from ..operators import coerce, kmap, merge, providers, records, route
-from ..schema import CKU_DDL
+from ..functions.text import keyword_score, matched_keywords
+from ..operators import coerce, kmap, providers, records, route, split
+from ..schema import CHUNK_DDL, CKU_DDL, PARSED_DDL
 from ..sources import files
 from ..sources.store import Store
 
+FOUND_DDL = "source string, chunk int, n_chunks int, found string, error string"
 
-def chunks(parsed: dict, max_lines: int) -> list[list[dict]]:
-    """Pages of a parsed document in chunks: whole, by heading, by lines, or by pages."""
-    pages = parsed["pages"]
-    lines = lambda t: t.count("\n") + 1
-    if sum(lines(p["text"]) for p in pages) <= max_lines:
-        return [pages]
-    out: list[list[dict]] = []
-    n = 0
-    if len(pages) > 1:
-        for p in pages:
-            if not out or (n and n + lines(p["text"]) > max_lines):
-                out.append([])
-                n = 0
-            out[-1].append(p)
-            n += lines(p["text"])
-        return out
-    import re
-
-    text, visuals = pages[0]["text"], pages[0].get("visuals") or []
-    starts = [m.start() for m in re.finditer(r"(?m)^#{1,2}\s+", text)]
-    cuts = [0, *[s for s in starts if s], len(text)]
-    spans = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if text[a:b].strip()] if starts else []
-    if len(spans) <= 1:
-        rows = text.split("\n")
-        groups = ["\n".join(rows[i : i + max_lines]) for i in range(0, len(rows), max_lines)]
-        return [[{"number": i, "text": g, "visuals": []}] for i, g in enumerate(groups)]
-    packed: list[list[tuple[int, int]]] = []
-    for a, b in spans:
-        size = lines(text[a:b].strip())
-        if not packed or (n and n + size > max_lines):
-            packed.append([])
-            n = 0
-        packed[-1].append((a, b))
-        n += size
-    # images go with the chunk that they stand in
-    return [[{"number": i, "text": "\n\n".join(text[a:b].strip() for a, b in g), "visuals": [v for v in visuals if any(a <= v.get("at", -1) < b for a, b in g)]}] for i, g in enumerate(packed)]
+
+def parsed(found: DataFrame) -> DataFrame:
+    """Files (source, content, hash) to documents (PARSED_DDL); an error is the row's, not the job's."""
+    parsers = files.PARSERS
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["source"], pdf["content"], strict=True):
+                try:
+                    kind, pages = files.parse(path, bytes(content), parsers)
+                    rows.append((kind, pages, None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame({"source": pdf["source"], "hash": pdf["hash"], "type": [r[0] for r in rows], "pages": [r[1] for r in rows], "error": [r[2] for r in rows]})
+
+    return found.select("source", "content", "hash").mapInPandas(run, PARSED_DDL)
+
+
+def extracted(documents: DataFrame, max_lines: int, provider: str, options: dict) -> DataFrame:
+    """Documents (source, pages) to what the provider finds in each of their chunks (FOUND_DDL; found is JSON of CHUNK_DDL)."""
+    chunks = documents.select("source", split.chunks(F.col("pages"), max_lines).alias("cs")).select("source", F.size("cs").alias("n_chunks"), F.posexplode("cs").alias("chunk", "c"))
+    rows = chunks.select("source", "chunk", "n_chunks", F.to_json("c").alias("pages"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = providers.get_provider(provider, **options)
+        for pdf in batches:
+            out = []
+            for pages in pdf["pages"]:
+                try:
+                    out.append((json.dumps(coerce.chunk(model.compile_document({"pages": json.loads(pages)})), ensure_ascii=False), None))
+                except Exception as e:  # noqa: BLE001
+                    out.append((None, f"{type(e).__name__}: {e}"))
+            yield pdf[["source", "chunk", "n_chunks"]].assign(found=[r[0] for r in out], error=[r[1] for r in out])
+
+    return rows.mapInPandas(run, FOUND_DDL)
+
+
+def compiled(found: DataFrame) -> DataFrame:
+    """What was found in chunks (FOUND_DDL) to one row per document: source, error, and where there is none summaries, entities, facts, visuals, dependencies, language."""
+    errors = found.groupBy("source").agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("chunk"))).alias("error"))
+    good = found.join(errors.where("error IS NOT NULL").select("source"), "source", "left_anti")
+    typed = good.select("source", "chunk", "n_chunks", F.from_json("found", CHUNK_DDL, {"mode": "FAILFAST"}).alias("c")).select("source", "chunk", "n_chunks", "c.*")
+    out = errors.join(records.merged(typed), "source", "left")
+    return out.withColumn("error", F.when(F.col("error").isNull() & F.col("language").isNull(), "ValueError: language must be text").otherwise(F.col("error")))
 
 
 class Compiler:
     def __init__(self, spark: SparkSession, config: files.Config):
         self.spark, self.config, self.store = ship(spark), config, Store(spark, config.store_dir)
 
-    def compile(self, source: str, force: bool = False, roles: list[str] | None = None) -> DataFrame:
-        """Compile a file or directory: (source, status, error), status compiled, skipped or failed. roles None keeps the stored ones."""
-        found = files.files(self.spark, files.collect_files(source))
+    def compile(self, source: str | list[str], force: bool = False, roles: list[str] | None = None, names: dict[str, str] | None = None, user: str | None = None) -> DataFrame:
+        """Compile a file, a directory or a list of files: (source, status, error), status compiled, skipped or failed.
+
+        roles None keeps the stored ones; names gives files logical source names.
+        """
+        paths = [p for s in ([source] if isinstance(source, str) else source) for p in files.collect_files(s)]
+        found = files.files(self.spark, paths)
+        if names:
+            given = self.spark.createDataFrame(list(names.items()), "source string, name string")
+            found = found.join(given, "source", "left").withColumn("source", F.coalesce("name", "source")).drop("name")
         old = self.store.ckus()
         todo = found if force else records.stale(found, old)
-        provider, options, limit = self.config.provider, {"model": self.config.model, "url": self.config.url}, self.config.max_section_lines
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            model = providers.get_provider(provider, **options)
-            for pdf in batches:
-                rows = []
-                for path, content in zip(pdf["source"], pdf["content"], strict=True):
-                    try:  # an error is the row's, not the job's
-                        parsed = files.parse(path, bytes(content))
-                        raw = merge.merge([model.compile_document({"pages": c}) for c in chunks(parsed, limit)])
-                        kind = parsed["type"] + ("/multimodal" if any(p.get("visuals") for p in parsed["pages"]) else "")
-                        rows.append((json.dumps(coerce.record(raw), ensure_ascii=False), kind, None))
-                    except Exception as e:  # noqa: BLE001
-                        rows.append((None, None, f"{type(e).__name__}: {e}"))
-                yield pd.DataFrame({"source": pdf["source"], "hash": pdf["hash"], "record": [r[0] for r in rows], "type": [r[1] for r in rows], "error": [r[2] for r in rows]})
-
-        # paid calls are made once: their output is written before it is used
-        stage = f"{self.config.store_dir.rstrip('/')}/staging/{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}"
-        todo.mapInPandas(run, "source string, hash string, record string, type string, error string").write.parquet(stage)
-        done = self.spark.read.parquet(stage)
+        # parsing and paid calls are made once: their output is written before it is used
+        stage = f"{self.config.store_dir.rstrip('/')}/staging/{uuid.uuid4().hex}"
+        documents = self._kept(parsed(todo), f"{stage}/parsed")
+        options = {"model": self.config.model, "url": self.config.url, "api_key": self.config.api_key}
+        found_in = self._kept(extracted(documents.where("error IS NULL"), self.config.max_section_lines, self.config.provider, options), f"{stage}/found")
+        done = self._kept(documents.select("source", "hash", "type", F.col("error").alias("unread"), F.exists("pages", lambda p: F.size(p["visuals"]) > 0).alias("seen")).join(compiled(found_in), "source", "left"), f"{stage}/done")
+        done = done.withColumn("error", F.coalesce("unread", "error")).withColumn("type", F.when(F.col("seen"), F.concat("type", F.lit("/multimodal"))).otherwise(F.col("type")))
         kept = old.select(F.col("meta.source").alias("source"), F.col("meta.access.roles").alias("old_roles"))
         given = F.lit(None).cast("array<string>") if roles is None else F.array(*[F.lit(r) for r in roles]).cast("array<string>")
-        c = done.where("record IS NOT NULL").join(kept, "source", "left").withColumn("r", F.from_json("record", CKU_DDL.replace("meta STRUCT", "language STRING, meta STRUCT")))
         access = F.struct(F.coalesce(given, "old_roles", F.array().cast("array<string>")).alias("roles")).alias("access")
         now = datetime.now(timezone.utc).isoformat()
-        new = c.select(
-            source_to_id(F.col("source")).alias("id"), F.struct("source", F.lit(now).alias("compiled"), "hash", "type", F.col("r.language").alias("language"), access).alias("meta"),
-            "r.summaries", "r.entities", "r.facts", "r.visuals", "r.dependencies",
+        new = done.where("error IS NULL").join(kept, "source", "left").select(
+            source_to_id(F.col("source")).alias("id"), F.struct("source", F.lit(now).alias("compiled"), "hash", "type", "language", access).alias("meta"),
+            "summaries", "entities", "facts", "visuals", "dependencies",
         )
         if roles is not None and not force:  # changed roles of unchanged files
             same = found.select("source").join(done.select("source"), "source", "left_anti")
@@ -102,22 +107,26 @@ class Compiler:
             new = new.unionByName(moved.withColumn("meta", F.col("meta").withField("access", F.struct(given.alias("roles")))))
         self.store.save(new)
         status = F.when(F.col("error").isNotNull(), "failed").when(F.col("hash").isNotNull(), "compiled").otherwise("skipped")
-        out = found.select("source").join(done.select("source", "hash", "error"), "source", "left").select("source", status.alias("status"), "error")
-        self.store.log("compile", {"source": source, "status": {r[0]: r[1] for r in out.groupBy("status").count().collect()}, "roles": roles})
+        out = self._kept(found.select("source").join(done.select("source", "hash", "error"), "source", "left").select("source", status.alias("status"), "error"), f"{stage}/outcome")
+        self.store.log("compile", {"source": source, "status": {r[0]: r[1] for r in out.groupBy("status").count().collect()}, "roles": roles}, user)
         return out
 
+    def _kept(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
 
 class Asker:
     def __init__(self, spark: SparkSession, config: files.Config):
         self.spark, self.config, self.store = ship(spark), config, Store(spark, config.store_dir)
 
     def ask(self, questions: DataFrame, top_k: int | None = None) -> DataFrame:
-        """questions (qid, question, role): with prompt, sources, tokens, n_ckus and answer. Roles are applied after top-k."""
+        """questions (qid, question, role): with prompt, sources, tokens, ckus (routed and allowed, in order) and answer. Roles are applied after top-k."""
         c = self.store.ckus()
         found = route.top(route.scores(questions, kmap.entities(c), kmap.topics(c), kmap.facts_all(c)), top_k or self.config.top_k)
         found = route.allowed(found.join(questions.select("qid", "role"), "qid"), c.select(F.col("id").alias("cku_id"), F.col("meta.access.roles").alias("roles")))
-        context = route.assemble(found, c).join(found.groupBy("qid").agg(F.count("*").alias("n_ckus")), "qid")
-        provider, options = self.config.provider, {"model": self.config.model, "url": self.config.url}
+        context = route.assemble(found, c).join(found.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "cku_id"))), lambda x: x["cku_id"]).alias("ckus")), "qid")
+        provider, options = self.config.provider, {"model": self.config.model, "url": self.config.url, "api_key": self.config.api_key}
 
         @F.pandas_udf("string")
         def said(prompt: pd.Series, question: pd.Series) -> pd.Series:
@@ -131,22 +140,32 @@ class Asker:
     def query(self, question: str, role: str | None = None, top_k: int | None = None, user: str | None = None) -> dict:
         one = self.spark.createDataFrame([(1, question, role)], "qid long, question string, role string")
         row = self.ask(one, top_k).first().asDict()
-        self.store.log("query", {"question": question, "sources": row["sources"] or [], "user_role": role}, user)
+        row["ckus"], row["sources"] = row["ckus"] or [], row["sources"] or []
+        self.store.log("query", {"question": question, "cku_ids": row["ckus"], "sources": row["sources"], "user_role": role}, user)
         return row
 
 
-def benchmark(spark: SparkSession, config: files.Config, folder: str, force: bool = False) -> tuple[dict, DataFrame]:
-    """Compile a data set's documents, ask its questions, score the answers by expected keywords."""
+def benchmark(spark: SparkSession, config: files.Config, folder: str, force: bool = True, clock: Callable[[], float] = time.perf_counter) -> tuple[dict, DataFrame]:
+    """Compile a data set's documents, ask its questions one after the other, each timed, and score the answers by expected keywords: (report, results)."""
     questions, paths = files.load_dataset(spark, folder)
-    began = time.perf_counter()
+    began = clock()
     Compiler(spark, config).compile(f"{folder}/docs", force=force).count()
-    compiled = time.perf_counter() - began
-    began = time.perf_counter()
-    asked = Asker(spark, config).ask(questions.select(F.col("id").alias("qid"), "question", F.lit(None).cast("string").alias("role")))
-    rows = [tuple(r) for r in asked.select("qid", "answer", "tokens", "n_ckus").collect()]
-    each = (time.perf_counter() - began) * 1000 / max(1, len(rows))
-    results = questions.join(spark.createDataFrame(rows, "qid string, answer string, tokens long, n_ckus long").withColumnRenamed("qid", "id"), "id")
-    results = results.select("*", keyword_score(F.col("answer"), F.col("expected_keywords")).alias("keyword_score"), F.lit(each).alias("latency_ms"), F.coalesce("tokens", F.lit(0)).alias("token_estimate"))
-    means = records.averages(results).first().asDict()
-    report = {"compile_time_s": round(compiled, 2), "compile_doc_count": len(paths), "avg_keyword_score": round(means["avg_keyword_score"], 3), "avg_latency_ms": round(means["avg_latency_ms"], 1), "avg_tokens": round(means["avg_token_estimate"], 1), "category_scores": {r[0]: round(r[2], 3) for r in records.category_scores(results).collect()}}
+    taken, asker, rows = clock() - began, Asker(spark, config), []
+    asked = questions.collect()  # a data set's questions, by hand
+    for q in asked:
+        began = clock()
+        got = asker.query(q.question)
+        rows.append((q.id, got["answer"], got["tokens"] or 0, len(got["sources"]), len(got["ckus"]), (clock() - began) * 1000))
+    said = spark.createDataFrame(rows, "id string, answer string, token_estimate long, sources_used int, routed_ckus int, latency_ms double")
+    results = questions.join(said, "id").withColumn("matched_keywords", matched_keywords(F.col("answer"), F.col("expected_keywords"))).withColumn("keyword_score", keyword_score(F.col("answer"), F.col("expected_keywords")))
+    means = records.averages(results).first()
+    by_id = {r.id: r for r in results.collect()}
+    report = {
+        "dataset": Path(folder).name, "total_questions": len(asked), "compile_time_s": round(taken, 2), "compile_doc_count": len(paths), "avg_keyword_score": round(means.avg_keyword_score, 3),
+        "avg_latency_ms": round(means.avg_latency_ms, 1), "avg_tokens": round(means.avg_token_estimate, 1), "category_scores": {r[0]: round(r[2], 3) for r in records.category_scores(results).collect()},
+        "questions": [
+            {"id": r.id, "question": r.question, "category": r.category, "keyword_score": round(r.keyword_score, 3), "latency_ms": round(r.latency_ms, 1), "token_estimate": r.token_estimate, "matched_keywords": r.matched_keywords, "expected_keywords": r.expected_keywords}
+            for r in (by_id[q.id] for q in asked)
+        ],
+    }
     return report, results

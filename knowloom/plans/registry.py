@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import kmap, records, route, split
-from . import samples
+from ..schema import PAGE_DDL, VISUAL_DDL
+from ..scratch import Scratch
+from . import engine, samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,7 +37,7 @@ P = "t AS (SELECT DISTINCT id AS cku_id, unnest(CASE WHEN len(names) > 0 THEN [l
 FA = "f AS (SELECT id AS cku_id, unnest(sentences) AS claim, generate_subscripts(sentences, 1) - 1 AS seq FROM n)"
 LINE = r"' ' || array_to_string(regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}]+'), ' ') || ' '"
 STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
-Q = "q AS (SELECT conv_id * 1000 + turn AS qid, array_to_string(string_split(text, ' ')[1:4], ' ') AS question FROM conversations WHERE role = 'user')"
+Q = "q AS (SELECT conv_id * 1000 + turn AS qid, text AS question FROM conversations WHERE role = 'user')"
 K = rf"k0 AS (SELECT qid, list_filter(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 2 AND NOT list_contains({STOP}, w)) AS ks FROM q), k AS (SELECT qid, unnest(ks) AS kw, generate_subscripts(ks, 1) - 1 AS pos FROM k0)"
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ROUTE = f"""{D}, {N}, {E0}, {E}, {P}, {FA}, {Q}, {K},
@@ -54,13 +56,14 @@ top AS (SELECT * FROM (SELECT qid, cku_id, score, CAST(row_number() OVER (PARTIT
 
 
 def tables(spark: SparkSession, sf_dir: str):
-    c = samples.cku(spark, sf_dir)
+    c = samples.written(spark, sf_dir)
     return c, kmap.entities(c), kmap.topics(c), kmap.facts_all(c)
 
 
-def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, e, t, f = tables(spark, sf_dir)
-    return route.top(route.scores(samples.questions(spark, sf_dir), e, t, f))
+def routed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each question's documents, and the records."""
+    c, e, t, f = tables(spark, sf_dir)
+    return route.top(route.scores(samples.questions(spark, sf_dir), e, t, f)), c
 
 
 # --- identity, splitting ---
@@ -92,7 +95,9 @@ def heading_sections(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {SECTIONS}, w AS (SELECT doc_id, idx, n AS total, 0 AS chunk FROM s4 WHERE idx = 0 UNION ALL SELECT s4.doc_id, s4.idx, CASE WHEN w.total + s4.n > {MAX_LINES} THEN s4.n ELSE w.total + s4.n END, w.chunk + CASE WHEN w.total + s4.n > {MAX_LINES} THEN 1 ELSE 0 END FROM w JOIN s4 ON s4.doc_id = w.doc_id AND s4.idx = w.idx + 1) SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(max(total) AS BIGINT) AS n_lines FROM w GROUP BY doc_id, chunk")
 def greedy_pack(spark, sf_dir):
-    s = marked(spark, sf_dir).select("doc_id", F.posexplode(split.pack(split.heading_sections(F.col("text")), MAX_LINES)).alias("chunk", "c"))
+    found, text = split.sections(F.col("text")), F.col("text")
+    parts = F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(text.alias("text"), T.line_count(text).alias("n"), F.lit(0).alias("lo"), F.length(text).alias("hi"))))
+    s = marked(spark, sf_dir).select("doc_id", F.posexplode(split.pack(parts, MAX_LINES)).alias("chunk", "c"))
     return s.select("doc_id", "chunk", F.col("c.n").cast("long").alias("n_lines"))
 
 
@@ -166,7 +171,7 @@ def keywords(spark, sf_dir):
 
 @query(f"WITH {ROUTE} SELECT qid, rank, cku_id, score FROM top")
 def route_batch_topk(spark, sf_dir):
-    return routed(spark, sf_dir)
+    return routed(spark, sf_dir)[0]
 
 
 @query(f"WITH {ROUTE.replace(Q, 'q AS (SELECT CAST(1 AS BIGINT) AS qid, ' + chr(39) + 'What is the thing of src1?' + chr(39) + ' AS question)')} SELECT qid, rank, cku_id, score FROM top")
@@ -178,8 +183,9 @@ def route_single(spark, sf_dir):
 
 @query(f"WITH {ROUTE} SELECT qid, rank, cku_id FROM top JOIN d ON d.id = top.cku_id WHERE doc_id % 3 = 2 OR doc_id % 3 = 1")
 def access_filter(spark, sf_dir):
-    access = samples.cku(spark, sf_dir).select(F.col("id").alias("cku_id"), F.col("meta.access.roles").alias("roles"))
-    return route.allowed(routed(spark, sf_dir).withColumn("role", F.lit("admin")), access).select("qid", "rank", "cku_id")
+    found, c = routed(spark, sf_dir)
+    access = c.select(F.col("id").alias("cku_id"), F.col("meta.access.roles").alias("roles"))
+    return route.allowed(found.withColumn("role", F.lit("admin")), access).select("qid", "rank", "cku_id")
 
 
 CONTEXT = f"""{ROUTE},
@@ -189,52 +195,12 @@ x AS (SELECT qid, array_to_string(list_concat(['## Relevant Summaries'], list(s
 
 @query(f"WITH {CONTEXT} SELECT qid, sha256(prompt) AS digest, CAST(length(prompt) AS INTEGER) AS n FROM x")
 def prompt_context(spark, sf_dir):
-    return route.assemble(routed(spark, sf_dir), samples.cku(spark, sf_dir)).select("qid", F.sha2("prompt", 256).alias("digest"), F.length("prompt").alias("n"))
+    return route.assemble(*routed(spark, sf_dir)).select("qid", F.sha2("prompt", 256).alias("digest"), F.length("prompt").alias("n"))
 
 
 @query(f"WITH {CONTEXT} SELECT qid, sources FROM x")
 def sources_distinct(spark, sf_dir):
-    return route.assemble(routed(spark, sf_dir), samples.cku(spark, sf_dir)).select("qid", F.array_join("sources", ",").alias("sources"))
-
-
-# the same five over whole turns; the SQL of those above asks with a turn's first words and stays as it is
-
-TURNS = "q AS (SELECT conv_id * 1000 + turn AS qid, text AS question FROM conversations WHERE role = 'user')"
-
-
-def whole(sql: str) -> str:
-    return sql.replace(Q, TURNS)
-
-
-def routed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, e, t, f = tables(spark, sf_dir)
-    return route.top(route.scores(samples.turns(spark, sf_dir), e, t, f))
-
-
-@query(whole(ORACLE_SQL["keywords"]))
-def keywords_turns(spark, sf_dir):
-    return route.question_keywords(samples.turns(spark, sf_dir))
-
-
-@query(whole(ORACLE_SQL["route_batch_topk"]))
-def route_batch_topk_turns(spark, sf_dir):
-    return routed_turns(spark, sf_dir)
-
-
-@query(whole(ORACLE_SQL["access_filter"]))
-def access_filter_turns(spark, sf_dir):
-    access = samples.cku(spark, sf_dir).select(F.col("id").alias("cku_id"), F.col("meta.access.roles").alias("roles"))
-    return route.allowed(routed_turns(spark, sf_dir).withColumn("role", F.lit("admin")), access).select("qid", "rank", "cku_id")
-
-
-@query(whole(ORACLE_SQL["prompt_context"]))
-def prompt_context_turns(spark, sf_dir):
-    return route.assemble(routed_turns(spark, sf_dir), samples.cku(spark, sf_dir)).select("qid", F.sha2("prompt", 256).alias("digest"), F.length("prompt").alias("n"))
-
-
-@query(whole(ORACLE_SQL["sources_distinct"]))
-def sources_distinct_turns(spark, sf_dir):
-    return route.assemble(routed_turns(spark, sf_dir), samples.cku(spark, sf_dir)).select("qid", F.array_join("sources", ",").alias("sources"))
+    return route.assemble(*routed(spark, sf_dir)).select("qid", F.array_join("sources", ",").alias("sources"))
 
 
 @query(r"SELECT doc_id, CAST(floor(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) / 0.75) AS BIGINT) AS tokens FROM documents")
@@ -262,19 +228,20 @@ def chunks(spark, sf_dir):
 
 @query("SELECT source, id, doc_id FROM (SELECT source, lang AS id, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rn FROM documents WHERE doc_id % 5 <> 0) WHERE rn = 1 UNION ALL SELECT source, '' AS id, doc_id FROM documents WHERE doc_id % 5 = 0")
 def merge_sections_first_wins(spark, sf_dir):
-    rows = chunks(spark, sf_dir).withColumn("id", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("lang"))).withColumn("pos", F.lit(0))
-    return records.first_wins(rows).select("source", "id", "doc_id")
+    rows = chunks(spark, sf_dir).withColumn("key", F.when(F.col("doc_id") % 5 != 0, F.col("lang"))).withColumn("pos", F.lit(0))
+    return records.first_wins(rows).select("source", F.coalesce("key", F.lit("")).alias("id"), "doc_id")
 
 
 @query("WITH c AS (SELECT source, lang AS id, doc_id AS chunk, unnest([{'t': 'a', 'k': 0}, {'t': 'a', 'k': 1}, {'t': CAST(doc_id % 3 AS VARCHAR), 'k': 2}]) AS r FROM documents), f AS (SELECT source, id, min(chunk) AS first FROM c GROUP BY source, id), x AS (SELECT *, row_number() OVER (PARTITION BY source, id, r.t ORDER BY chunk, r.k) AS rn FROM c JOIN f USING (source, id)) SELECT source, id, r.t AS target, 'rel' AS type FROM x WHERE chunk = first OR rn = 1")
 def merge_entities_relations(spark, sf_dir):
     rel = F.array(*[F.struct(t.alias("target"), F.lit("rel").alias("type")) for t in (F.lit("a"), F.lit("a"), (F.col("doc_id") % 3).cast("string"))])
-    return records.merged_relations(chunks(spark, sf_dir).select("source", "chunk", F.lit(0).alias("pos"), F.col("lang").alias("id"), rel.alias("relations")))
+    found = records.merged_relations(chunks(spark, sf_dir).select("source", "chunk", F.lit(0).alias("pos"), F.col("lang").alias("key"), rel.alias("relations")))
+    return found.select("source", F.col("key").alias("id"), F.explode("relations").alias("r")).select("source", "id", "r.target", "r.type")
 
 
 @query("SELECT source, language FROM (SELECT source, language, row_number() OVER (PARTITION BY source ORDER BY n DESC, first) AS rn FROM (SELECT source, coalesce(lang, 'en') AS language, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1, 2)) WHERE rn = 1")
 def merge_language_mode(spark, sf_dir):
-    return records.language_mode(chunks(spark, sf_dir).withColumnRenamed("lang", "language"))
+    return records.language_mode(chunks(spark, sf_dir).select("source", "chunk", F.coalesce("lang", F.lit("en")).alias("language")))
 
 
 @query("WITH x AS (SELECT source, d, min(doc_id * 2 + k) AS seen FROM (SELECT source, doc_id, unnest([lang || '.md', CAST(doc_id % 7 AS VARCHAR)]) AS d, unnest([0, 1]) AS k FROM documents) GROUP BY source, d) SELECT source, string_agg(d, ',' ORDER BY seen) AS dependencies FROM x GROUP BY source")
@@ -336,3 +303,33 @@ def compile_status_counts(spark, sf_dir):
     files = c.select(F.col("meta.source").alias("source"), F.col("meta.hash").alias("hash"))
     changed = records.stale(files, c.where("doc_id % 4 <> 0")).withColumn("status", F.lit("compiled"))
     return files.join(changed.select("source", "status"), "source", "left").groupBy(F.coalesce("status", F.lit("skipped")).alias("status")).agg(F.count("*").alias("n"))
+
+
+# --- compiling: split, provider, merge, coerce, as the engine does it ---
+
+FACTS = r"list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', E'\\1\n', 'g'), chr(10)), lambda x: x), lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '')) >= 3)"
+NAMES = r"list_filter(regexp_extract_all(x, '[\p{L}\p{N}_]+'), lambda w: length(w) >= 3 AND regexp_matches(w, '^\p{Lu}'))"
+BLANK = "E' \\t\\r\\n\\x0B\\x0C'"
+COMPILED = f"""l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, unnest(range(0, CAST(floor((len(ls) - 1) / {MAX_LINES}) AS BIGINT) + 1)) AS chunk, ls FROM l),
+p AS (SELECT doc_id, chunk, len(ls) > {MAX_LINES} AS several, array_to_string(ls[chunk * {MAX_LINES} + 1:chunk * {MAX_LINES} + {MAX_LINES}], chr(10)) AS t FROM c),
+f0 AS (SELECT doc_id, chunk, several, {FACTS} AS xs FROM p),
+f AS (SELECT doc_id, chunk, several, trim(unnest(xs), {BLANK}) AS claim, generate_subscripts(xs, 1) AS i FROM f0),
+n0 AS (SELECT doc_id, several, claim AS x FROM f),
+n AS (SELECT doc_id, several, unnest({NAMES}) AS name FROM n0),
+e AS (SELECT doc_id, count(DISTINCT CASE WHEN several THEN lower(name) ELSE name END) AS n_entities FROM n GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n_facts, sha256(string_agg(CAST(chunk AS VARCHAR) || '-' || CAST(i AS VARCHAR) || ' ' || claim, chr(10) ORDER BY chunk, i)) AS digest FROM f GROUP BY doc_id),
+s AS (SELECT doc_id, string_agg(claim, ' ' ORDER BY chunk) AS said FROM f WHERE i = 1 GROUP BY doc_id)"""
+
+
+@query(f"WITH {COMPILED} SELECT d.doc_id, coalesce(g.n_facts, 0) AS n_facts, coalesce(e.n_entities, 0) AS n_entities, coalesce(g.digest, sha256('')) AS facts_digest, sha256(coalesce(s.said, '')) AS summary_digest FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN e USING (doc_id) LEFT JOIN s USING (doc_id) WHERE d.text IS NOT NULL")
+def compile_documents(spark, sf_dir):
+    """All documents through the engine's split, provider and merge, with the rule provider."""
+    d = samples.documents(spark, sf_dir).where("text IS NOT NULL")
+    page = F.struct(F.lit(0).alias("number"), F.col("text").alias("text"), F.array().cast(f"ARRAY<{VISUAL_DDL}>").alias("visuals"))
+    found = Scratch(spark, "compile").keep(engine.extracted(d.select(F.col("doc_id").cast("string").alias("source"), F.array(page).cast(f"ARRAY<{PAGE_DDL}>").alias("pages")), MAX_LINES, "rules", {}), "found")
+    claims = F.array_join(F.transform("facts", lambda f: F.concat(f["id"], F.lit(" "), f["claim"])), "\n")
+    return engine.compiled(found).select(
+        F.col("source").cast("long").alias("doc_id"), F.size("facts").cast("long").alias("n_facts"), F.size("entities").cast("long").alias("n_entities"),
+        F.sha2(claims, 256).alias("facts_digest"), F.sha2("summaries.document", 256).alias("summary_digest"),
+    )

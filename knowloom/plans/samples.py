@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import content_hash, source_to_id
+from ..scratch import Scratch
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,13 +37,12 @@ def cku(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
-    # the first words of a turn are the question
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("question"))
+def written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records, written once and read back, so that each table of the map reads only the fields that it needs."""
+    return Scratch(spark, "records").keep(cku(spark, sf_dir), "ckus")
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole user turn as a question."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question"))

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
-from typing import Any
+from typing import Any, Protocol
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import content_hash
 from ..schema import QUESTION_DDL
 
+# Suffixes that are read, image links, font sizes of headings, drawings that a page has without being a diagram.
 SUFFIXES = (".pdf", ".md", ".markdown")
 IMAGE = re.compile(r"!\[([^\]]*)\]\(([^)]+)\)")
+LARGE, MEDIUM = 16, 13
+MANY_DRAWINGS = 5
 
 
 def collect_files(source: str) -> list[str]:
@@ -26,34 +32,73 @@ def collect_files(source: str) -> list[str]:
         return [str(path)]
     if not path.is_dir():
         raise FileNotFoundError(source)
-    found = (p for p in sorted(path.rglob("*")) if p.suffix.lower() in SUFFIXES and p.is_file())
+    found = (p for p in sorted(path.rglob("*")) if any(x.can_parse(str(p)) for x in PARSERS) and p.is_file())
     return [str(p) for p in found if not any(x.startswith(".") for x in p.relative_to(path).parts)]
 
 
 def files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """source, content, hash. Paths are listed above, since Spark's own listing skips names that start with _."""
-    read = None
-    for lo in range(0, len(paths), 1000):
-        part = spark.read.format("binaryFile").load([f"file://{os.path.abspath(p)}" for p in paths[lo : lo + 1000]])
-        read = part if read is None else read.unionByName(part)
-    if read is None:
+    if not paths:
         return spark.createDataFrame([], "source string, content binary, hash string")
+    read = spark.read.format("binaryFile").load([f"file://{os.path.abspath(p)}" for p in paths])
     return read.select(F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^file:/*", "/").alias("source"), "content", content_hash(F.col("content")).alias("hash"))
 
 
-def parser_of(path: str) -> str:
-    suffix = Path(path).suffix.lower()
-    if suffix in (".md", ".markdown"):
-        return "markdown"
-    if suffix == ".pdf":
-        return "pdf"
-    raise ValueError(f"unsupported file type: {suffix}")
+class Parser(Protocol):
+    """Reads one kind of file; runs on the executors, so it must be picklable. Add one by register."""
+
+    kind: str
+
+    def can_parse(self, path: str) -> bool: ...
+    def parse(self, content: bytes) -> list[dict]:
+        """Pages: {number, text, visuals: [{type, page, bbox, data, at}]}."""
+        ...
+
+
+class MarkdownParser:
+    kind = "markdown"
+
+    def can_parse(self, path: str) -> bool:
+        return Path(path).suffix.lower() in (".md", ".markdown")
+
+    def parse(self, content: bytes) -> list[dict]:
+        text = content.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n")
+        return [{"number": 0, "text": text, "visuals": [visual("image", 0, data=f"alt={m[1]}, src={m[2]}", at=m.start()) for m in IMAGE.finditer(text)]}]
+
+
+class PdfParser:
+    kind = "pdf"
+
+    def can_parse(self, path: str) -> bool:
+        return Path(path).suffix.lower() == ".pdf"
+
+    def parse(self, content: bytes) -> list[dict]:
+        return parse_pdf(content)
+
+
+PARSERS: list[Parser] = [MarkdownParser(), PdfParser()]
+
+
+def register(parser: Parser) -> None:
+    """A parser that comes before those there are."""
+    PARSERS.insert(0, parser)
 
 
-def parse_markdown(content: bytes) -> list[dict]:
-    text = content.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n")
-    visuals = [{"type": "image", "page": 0, "data": f"alt={m[1]}, src={m[2]}", "at": m.start()} for m in IMAGE.finditer(text)]
-    return [{"number": 0, "text": text, "visuals": visuals}]
+def visual(kind: str, page: int, bbox: Any = None, data: str | None = None, at: int | None = None) -> dict:
+    return {"type": kind, "page": page, "bbox": [float(x) for x in bbox] if bbox else None, "data": data, "at": at}
+
+
+def parser_of(path: str, parsers: list[Parser] | None = None) -> Parser:
+    for p in PARSERS if parsers is None else parsers:
+        if p.can_parse(path):
+            return p
+    raise ValueError(f"unsupported file type: {Path(path).suffix.lower()}")
+
+
+def parse(path: str, content: bytes, parsers: list[Parser] | None = None) -> tuple[str, list[dict]]:
+    """Kind and pages."""
+    parser = parser_of(path, parsers)
+    return parser.kind, parser.parse(content)
 
 
 def spans_to_markdown(blocks: dict) -> str:
@@ -72,39 +117,59 @@ def spans_to_markdown(blocks: dict) -> str:
             text = "".join(s.get("text", "") for s in spans).strip()
             if text:
                 size = max((s.get("size", 0) for s in spans), default=0)
-                if size > 13:
+                if size > MEDIUM:
                     flush()
-                    out.append(("# " if size > 16 else "## ") + text)
+                    out.append(("# " if size > LARGE else "## ") + text)
                 else:
                     paragraph.append(text)
     flush()
     return "\n\n".join(out)
 
 
+def images_of(page: Any) -> Iterator[dict]:
+    for i in page.get_image_info(xrefs=True):
+        yield visual("image", page.number, i.get("bbox"))
+
+
+def tables_of(page: Any) -> Iterator[dict]:
+    for t in page.find_tables().tables:
+        try:
+            said = t.to_markdown()
+        except Exception:  # noqa: BLE001 - the table still stands there
+            said = None
+        yield visual("table", page.number, t.bbox, said)
+
+
+def diagram_of(page: Any) -> Iterator[dict]:
+    """Many vector drawings make one diagram, in the box around them if it has an area."""
+    drawings = page.get_drawings()
+    if len(drawings) > MANY_DRAWINGS:
+        boxes = np.array([[float(x) for x in d["rect"]] for d in drawings if d.get("rect")]).reshape(-1, 4)
+        boxes = boxes[(boxes[:, 0] < boxes[:, 2]) & (boxes[:, 1] < boxes[:, 3])]
+        if len(boxes):
+            yield visual("diagram", page.number, [*boxes[:, :2].min(axis=0), *boxes[:, 2:].max(axis=0)])
+
+
 def parse_pdf(content: bytes) -> list[dict]:
+    """Pages of a PDF. What fails in a page's visuals costs that kind of visual on that page, not the document."""
     try:
         import fitz
     except ImportError as e:
         raise ImportError("PDF files need PyMuPDF") from e
     pages = []
-    for page in fitz.open(stream=content, filetype="pdf"):
-        visuals = [{"type": "image", "page": page.number, "bbox": list(b), "data": None} for i in page.get_images(full=True) for b in page.get_image_rects(i[0])]
-        for t in page.find_tables().tables:
-            visuals.append({"type": "table", "page": page.number, "bbox": list(t.bbox), "data": t.to_markdown() or None})
-        drawings = [d["rect"] for d in page.get_drawings()]
-        if len(drawings) > 5:
-            box = [min(r.x0 for r in drawings), min(r.y0 for r in drawings), max(r.x1 for r in drawings), max(r.y1 for r in drawings)]
-            visuals.append({"type": "diagram", "page": page.number, "bbox": box, "data": None})
-        pages.append({"number": page.number, "text": spans_to_markdown(page.get_text("dict")), "visuals": visuals})
+    document = fitz.open(stream=content, filetype="pdf")
+    try:
+        for page in document:
+            visuals: list[dict] = []
+            for kind in (images_of, tables_of, diagram_of):
+                with contextlib.suppress(Exception):
+                    visuals += kind(page)
+            pages.append({"number": page.number, "text": spans_to_markdown(page.get_text("dict")), "visuals": visuals})
+    finally:
+        document.close()
     return pages
 
 
-def parse(path: str, content: bytes) -> dict:
-    """{type, pages: [{number, text, visuals}]}"""
-    kind = parser_of(path)
-    return {"type": kind, "pages": parse_markdown(content) if kind == "markdown" else parse_pdf(content)}
-
-
 # --- benchmark data set ---
 
 
@@ -121,14 +186,17 @@ def load_dataset(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]
     rows = json.loads(asked.read_text("utf-8"))
     if not isinstance(rows, list) or not rows:
         raise ValueError("questions.json must be a non-empty array")
-    paths = [str(p) for p in sorted(docs.iterdir()) if p.suffix.lower() in SUFFIXES]
+    paths = [str(p) for p in sorted(docs.iterdir()) if any(x.can_parse(str(p)) for x in PARSERS)]
     if not paths:
         raise ValueError("no supported documents")
     full = [(r["id"], r["question"], r.get("expected_keywords", []), r.get("category", "answer_quality"), r.get("difficulty", "medium")) for r in rows]
     return spark.createDataFrame(full, QUESTION_DDL), paths
 
 
-# --- configuration: defaults < file < environment, an explicit store above all ---
+# --- configuration: defaults < the store's config.yaml < environment, an explicit store above all ---
+
+#: Names of other tools' variables that stand in where neither the file nor our own variable says anything.
+ALIASES = {"OPENAI_API_KEY": "api_key", "OLLAMA_HOST": "url"}
 
 
 @dataclass
@@ -137,6 +205,7 @@ class Config:
     provider: str = "rules"
     model: str | None = None
     url: str | None = None
+    api_key: str | None = None
     max_section_lines: int = 200
     top_k: int = 5
 
@@ -146,19 +215,19 @@ class Config:
 
 
 def load_config(store_dir: str | None = None, path: str | None = None, environ: dict[str, str] | None = None) -> Config:
+    """path: the configuration file, config.yaml in the store if not given."""
+    env = os.environ if environ is None else environ
     values: dict[str, Any] = {}
-    if path and os.path.exists(path):
+    path = path or os.path.join(store_dir or env.get("KNOWLOOM_STORE_DIR") or Config.store_dir, "config.yaml")
+    if os.path.exists(path):
         import yaml
 
         values = {k: v for k, v in (yaml.safe_load(Path(path).read_text("utf-8")) or {}).items() if k in Config.__dataclass_fields__}
-    for name in Config.__dataclass_fields__:
-        if (v := (environ if environ is not None else os.environ).get(f"KNOWLOOM_{name.upper()}")) is not None:
-            values[name] = v
+    values |= {name: v for name in Config.__dataclass_fields__ if (v := env.get(f"KNOWLOOM_{name.upper()}")) is not None}
+    values = {target: env[alias] for alias, target in ALIASES.items() if alias in env} | values
     for name in ("max_section_lines", "top_k"):
         try:
             values[name] = int(values[name])
         except (KeyError, TypeError, ValueError):
             values.pop(name, None)
-    if store_dir:
-        values["store_dir"] = store_dir
-    return Config(**values)
+    return Config(**values | ({"store_dir": store_dir} if store_dir else {}))

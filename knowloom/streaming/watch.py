@@ -59,16 +59,16 @@ class ChangedFiles(DataSource):
 
 
 def watch(spark: SparkSession, folder: str, handle, checkpoint: str, debounce_ms: int = 1000, once: bool = False) -> StreamingQuery:
-    """Calls handle(path) for each new or changed file of a batch, once per path; deleted files are ignored, errors are the file's own."""
+    """Calls handle(paths) once for the new and changed files of a batch, each path once; deleted files are ignored. What handle raises is printed, and the stream goes on."""
     spark.dataSource.register(ChangedFiles)
 
     def batch(df, _: int) -> None:
-        for (path,) in df.select("path").distinct().collect():
-            if os.path.isfile(path):
-                try:
-                    handle(path)
-                except Exception as e:  # noqa: BLE001
-                    print(f"{path}: {e}")
+        paths = sorted(p for (p,) in df.select("path").distinct().toLocalIterator() if os.path.isfile(p))
+        if paths:
+            try:
+                handle(paths)
+            except Exception as e:  # noqa: BLE001
+                print(f"{len(paths)} files: {e}")
 
     stream = spark.readStream.format("changed_files").option("path", folder).load()
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

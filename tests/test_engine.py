@@ -46,6 +46,7 @@ def test_benchmark(spark, docs):
     (docs / "docs/bad.md").unlink()
     (docs / "questions.json").write_text(json.dumps([{"id": "1", "question": "python lists", "expected_keywords": ["values", "nope"]}]))
     report, results = benchmark(spark, Config(store_dir=str(docs / "s")), str(docs))
+    assert report["total_questions"] == 1 and report["questions"][0]["matched_keywords"] == ["values"] and report["questions"][0]["latency_ms"] > 0
     assert report["avg_keyword_score"] == 0.5 and report["compile_doc_count"] == 2 and report["category_scores"] == {"answer_quality": 0.5}
 
 
@@ -53,7 +54,7 @@ def test_watch_reports_changed_files_again(spark, docs):
     seen = []
 
     def turn():
-        q = watch(spark, str(docs / "docs"), seen.append, str(docs / "cp"), debounce_ms=100)
+        q = watch(spark, str(docs / "docs"), seen.extend, str(docs / "cp"), debounce_ms=100)
         q.processAllAvailable()
         q.stop()
         out = sorted(p.rpartition("/")[2] for p in seen)
@@ -65,3 +66,30 @@ def test_watch_reports_changed_files_again(spark, docs):
     (docs / "docs/py.md").write_text("other text")
     (docs / "docs/git.md").unlink()
     assert turn() == ["py.md"]
+
+
+def test_only_touched_buckets_are_written_again(spark, docs):
+    c = Compiler(spark, Config(store_dir=str(docs / "store")))
+    for i in range(12):
+        (docs / f"docs/n{i}.md").write_text(f"# N{i}\nText number {i} stands here.")
+    c.compile(str(docs / "docs"))
+    before = c.store.manifest()[1]["folders"]
+    (docs / "docs/py.md").write_text("# Python\nOther text stands here now.")
+    c.compile([str(docs / "docs/py.md"), str(docs / "docs/git.md")])
+    after = c.store.manifest()[1]["folders"]
+    assert sum(before[b] != after[b] for b in before) <= 1 and set(before) == set(after)
+    assert c.store.ckus().count() == 14 and c.store.load_by_source(str(docs / "docs/py.md")).first().facts[0].claim == "Other text stands here now."
+    names = {p.name for p in (docs / "store/ckus").iterdir()}
+    assert names == {*before.values(), *after.values()}
+    logged = [r.id for r in c.store.events().orderBy("id").collect()]
+    assert len(logged) == 2 and logged[0] < logged[1]
+
+
+def test_imported_records_are_checked(spark, docs):
+    from knowloom.sources.store import from_yaml
+
+    good = "meta: {source: a, compiled: 2024-01-01T00:00:00, hash: h, type: markdown}\nsummaries: {document: d}\nfacts: [{id: f, claim: c, source: {page: 1}}]\n"
+    assert from_yaml(good)["facts"][0]["confidence"] == 1.0 and from_yaml(good)["meta"]["language"] == "en"
+    for bad in ("[]", good.replace("hash: h", "hash: 1"), good.replace("{page: 1}", "{page: x}"), good.replace("2024-01-01T00:00:00", "soon"), good.replace("id: f, ", ""), good + "entities: [{id: e, name: E, type: t, relations: [{target: x}]}]\n"):
+        with pytest.raises(ValueError):
+            from_yaml(bad)

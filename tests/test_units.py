@@ -1,11 +1,15 @@
 """Functions and operators by hand-written cases."""
 
+import sys
+import types
+
 import pytest
 from pyspark.sql import functions as F
 
 from knowloom.functions import ids, text
-from knowloom.operators import coerce, kmap, merge, providers, records, route, split
-from knowloom.schema import CKU_DDL
+from knowloom.operators import coerce, kmap, providers, records, route, split
+from knowloom.plans import engine
+from knowloom.schema import CKU_DDL, PAGE_DDL
 from knowloom.sources import files
 
 
@@ -44,52 +48,84 @@ def test_heading_sections(spark, doc, n):
     assert len(value(spark, split.heading_sections(F.col("t")), t=doc)) == n
 
 
+def chunked(spark, pages, max_lines):
+    """Chunks of pages (number, text, visuals), as lists of pages."""
+    rows = [(n, t, [("image", n, None, d, at) for d, at in v]) for n, t, *v in pages]
+    return spark.createDataFrame([(rows,)], f"p ARRAY<{PAGE_DDL}>").select(split.chunks(F.col("p"), max_lines)).first()[0]
+
+
 def test_pack_keeps_oversized_sections_alone(spark):
-    parts = ["\n".join("x" * 300), "y", "\n".join("z" * 50), "\n".join("w" * 50)]
-    got = spark.createDataFrame([(parts,)], "p array<string>").select(split.pack(F.col("p"), 60)).first()[0]
-    assert [c["n"] for c in got] == [300, 51, 50]
+    doc = "# a\n" + "\n".join("x" * 299) + "\n# b\ny\n# c\n" + "\n".join("z" * 49) + "\n# d\n" + "\n".join("w" * 49)
+    got = chunked(spark, [(0, doc)], 60)
+    assert [c[0].text.count("\n") + 1 for c in got] == [300, 53, 50] and [c[0].number for c in got] == [0, 1, 2]
 
 
 def test_line_blocks_and_limits(spark):
     doc = "\n".join(str(i) for i in range(250))
-    got = value(spark, split.split_text(F.col("t"), 100), t=doc)
+    got = [c[0].text for c in chunked(spark, [(0, doc)], 100)]
     assert [g.count("\n") + 1 for g in got] == [100, 100, 50] and "\n".join(got) == doc
     with pytest.raises(ValueError):
         split.line_blocks(F.col("t"), 0)
+    assert [len(chunked(spark, [(0, "\n".join("x" * n))], 200)) for n in (200, 201)] == [1, 2]
+
+
+def test_pages_are_packed_whole(spark):
+    got = chunked(spark, [(i, "\n".join("x" * 30)) for i in range(20)], 100)
+    assert [p.number for c in got for p in c] == list(range(20)) and max(map(len, got)) == 3
+    assert [len(c) for c in chunked(spark, [(0, "x"), (1, "\n".join("y" * 500)), (2, "z")], 100)] == [1, 1, 1]
+    assert sum(c[0].text.count("\n") + 1 for c in chunked(spark, [(0, "\n".join("y" * 500))], 100)) == 500
 
 
-def test_split_pages(spark):
-    pages = spark.createDataFrame([("s", i, "\n".join("x" * 30)) for i in range(20)], "source string, number int, text string")
-    got = split.split_pages(pages, 100).groupBy("chunk").count().collect()
-    assert sum(r["count"] for r in got) == 20 and max(r["count"] for r in got) == 3
+def test_images_go_with_their_section(spark):
+    doc = "intro ![a](1)\n# A\nx\n# B\n![b](2)\ny"
+    at = [("one", doc.index("![a]")), ("two", doc.index("![b]"))]
+    rows = [(0, doc, [("image", 0, None, d, i) for d, i in at])]
+    got = spark.createDataFrame([(rows,)], f"p ARRAY<{PAGE_DDL}>").select(split.chunks(F.col("p"), 2)).first()[0]
+    assert [[v.data for v in c[0].visuals] for c in got] == [["one"], [], ["two"]]
 
 
 @pytest.mark.parametrize("page, want", [("4", 4), ("4.0", 4), (4.0, 4), (True, 1), (None, None)])
 def test_pages_read_leniently(page, want):
-    assert coerce.facts([{"id": "f", "claim": "c", "source": {"page": page}}])[0]["source"]["page"] == want
+    assert coerce.fact({"id": "f", "claim": "c", "source": {"page": page}})["source"]["page"] == want
 
 
-@pytest.mark.parametrize("source", [{"page": 4.5}, {"page": "x"}, {"page": [1]}, {"section": 1}])
+@pytest.mark.parametrize("source", [{"page": 4.5}, {"page": "x"}, {"page": [1]}, {"page": 2**40}, {"page": "1e300"}, {"section": 1}])
 def test_facts_with_bad_sources_go(source):
-    assert coerce.facts([{"id": "f", "claim": "c", "source": source}]) == []
+    assert coerce.fact({"id": "f", "claim": "c", "source": source}) == {"ok": False}
 
 
-def test_coercion_defaults():
-    got = coerce.record({"summaries": 3, "entities": [{"id": 1, "relations": [{"target": "a"}, {"target": "a", "type": "t"}]}, 7], "facts": "no", "visuals": [{"structured_data": [1]}, {"context": 3}], "dependencies": ["a", None, 2]})
-    assert got["entities"] == [{"id": "1", "name": "", "type": "concept", "relations": [{"target": "a", "type": "t"}]}]
-    assert got["dependencies"] == ["a", "2"] and got["visuals"][0]["structured_data"] is None and len(got["visuals"]) == 1
-    with pytest.raises(ValueError):
-        coerce.record({"language": None})
+def merged(spark, *raws):
+    """What the engine makes of one document's raw chunks."""
+    import json
+
+    rows = [("s", i, len(raws), json.dumps(coerce.chunk(r)), None) for i, r in enumerate(raws)]
+    return engine.compiled(spark.createDataFrame(rows, engine.FOUND_DDL)).first().asDict(recursive=True)
+
+
+def test_coercion_defaults(spark):
+    got = merged(spark, {"summaries": 3, "entities": [{"id": 1, "relations": [{"target": "a"}, {"target": "a", "type": "t"}]}, 7, {"id": 1}], "facts": "no", "visuals": [{"structured_data": [1]}, {"context": 3}], "dependencies": ["a", None, 2, "a"]})
+    assert got["entities"] == [{"id": "1", "name": "", "type": "concept", "relations": [{"target": "a", "type": "t"}]}, {"id": "1", "name": "", "type": "concept", "relations": []}]
+    assert got["dependencies"] == ["a", "2", "a"] and got["visuals"][0]["structured_data"] is None and len(got["visuals"]) == 1
+    assert got["summaries"] == {"document": "", "sections": []} and got["language"] == "en" and got["error"] is None
+    assert merged(spark, {"language": None})["error"] == "ValueError: language must be text"
+    assert merged(spark, {"facts": [{"id": "f", "claim": "c", "confidence": "x", "entities": [1]}]})["facts"][0] == {"id": "f", "claim": "c", "source": {"page": None, "section": None}, "confidence": 1.0, "entities": ["1"]}
+
 
+def test_merge_rules(spark):
+    section = lambda title: {"id": "s", "title": title, "summary": ""}
+    a = {"summaries": {"document": "A", "sections": [section("1")]}, "entities": [{"id": "e", "name": "E", "relations": [{"target": "x", "type": "t"}] * 2}, {"id": ""}], "facts": [{"id": "f", "claim": "1", "source": {"page": "bad"}}, {"id": "g", "claim": "2"}, {"id": ""}], "dependencies": ["a.md", "b.md"], "language": "de"}
+    b = {"summaries": {"document": "B", "sections": [section("2")]}, "entities": [{"id": "e", "name": "Z", "relations": [{"target": "x", "type": "t"}, {"target": "y", "type": "t"}, {"target": "y", "type": "t"}]}], "facts": [{"id": "f", "claim": "3"}, {"id": "g", "claim": "4"}, {"id": ""}], "visuals": [{"id": "v"}], "dependencies": ["b.md", "c.md", None], "language": "en"}
+    got = merged(spark, a, b, {"language": "de", "entities": 3, "facts": {"id": 1}, "summaries": {"document": ""}})
+    assert got["summaries"] == {"document": "A B", "sections": [section("1")]} and got["language"] == "de"
+    assert [(e["name"], [r["target"] for r in e["relations"]]) for e in got["entities"]] == [("E", ["x", "x", "y"])]
+    assert [f["claim"] for f in got["facts"]] == ["2", "", ""] and got["dependencies"] == ["a.md", "b.md", "c.md"] and len(got["visuals"]) == 1
+    assert merged(spark, {"language": 3}, {"language": None})["language"] == "en"
+    assert merged(spark, {"language": "fr"}, {"language": "de"}, {})["language"] == "fr"
 
-def test_merge_rules():
-    a = {"summaries": {"document": "A", "sections": [{"id": "s", "title": "1"}]}, "entities": [{"id": "e", "name": "E", "relations": [{"target": "x", "type": "t"}] * 2}, {"id": ""}], "facts": [{"id": "f", "claim": "1"}, {"id": ""}], "dependencies": ["a.md", "b.md"], "language": "de"}
-    b = {"summaries": {"document": "B", "sections": [{"id": "s", "title": "2"}]}, "entities": [{"id": "e", "name": "Z", "relations": [{"target": "x", "type": "t"}, {"target": "y", "type": "t"}]}], "facts": [{"id": "f", "claim": "2"}, {"id": ""}], "dependencies": ["b.md", "c.md"], "language": "en"}
-    got = merge.merge([a, b, {"language": "de", "entities": 3}])
-    assert got["summaries"] == {"document": "A B", "sections": [{"id": "s", "title": "1"}]} and got["language"] == "de"
-    assert [e["name"] for e in got["entities"]] == ["E"] and len(got["entities"][0]["relations"]) == 3
-    assert len(got["facts"]) == 3 and got["dependencies"] == ["a.md", "b.md", "c.md"]
-    assert merge.merge([a]) is a and merge.merge([])["language"] == "en"
+
+def test_odd_ids_and_relations_are_no_errors(spark):
+    got = merged(spark, {"entities": [{"id": [1], "relations": 5}, {"id": {"a": 1}}]}, {"entities": [{"id": [1], "name": "later"}], "dependencies": {"a": 1}})
+    assert [(e["id"], e["relations"]) for e in got["entities"]] == [("[1]", []), ("{'a': 1}", [])] and got["dependencies"] == []
 
 
 def test_provider_surface():
@@ -109,7 +145,8 @@ def test_files_and_parsers(spark, tmp_path):
     found = files.collect_files(str(tmp_path))
     assert [f.removeprefix(str(tmp_path)) for f in found] == ["/_x/d.MD", "/a.pdf", "/b.md"]
     assert {r[0] for r in files.files(spark, found).select("source").collect()} == set(found)
-    page = files.parse(found[0], b"![alt](i.png)\r\nx")["pages"][0]
+    kind, (page,) = files.parse(found[0], b"![alt](i.png)\r\nx")
+    assert kind == "markdown"
     assert page["text"] == "![alt](i.png)\nx" and page["visuals"][0]["data"] == "alt=alt, src=i.png"
     with pytest.raises(ValueError):
         files.parser_of("x.txt")
@@ -122,10 +159,112 @@ def test_pdf_spans():
     assert files.spans_to_markdown({"blocks": [{"type": 0, "lines": [line("Big", 20), line("a", 10), line("b", 10)]}, {"type": 1}, {"type": 0, "lines": [line("Mid", 14), line("c", 10)]}]}) == "# Big\n\na b\n\n## Mid\n\nc"
 
 
+class Notes:
+    kind = "notes"
+
+    def can_parse(self, path):
+        return path.endswith(".notes")
+
+    def parse(self, content):
+        return [{"number": 0, "text": content.decode(), "visuals": []}]
+
+
+def test_parsers_can_be_added(tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PARSERS", list(files.PARSERS))
+    (tmp_path / "x.notes").write_text("hi")
+    assert files.collect_files(str(tmp_path)) == []
+    files.register(Notes())
+    (found,) = files.collect_files(str(tmp_path))
+    assert files.parse(found, b"hi") == ("notes", [{"number": 0, "text": "hi", "visuals": []}])
+
+
+class Page:
+    """A page as the PDF library gives it, with parts that may fail."""
+
+    def __init__(self, number, **parts):
+        self.number, self.parts = number, parts
+
+    def _part(self, name, default):
+        v = self.parts.get(name, default)
+        if isinstance(v, Exception):
+            raise v
+        return v
+
+    def get_text(self, kind):
+        return {"blocks": [{"type": 0, "lines": [{"spans": [{"text": f"page {self.number}", "size": 20}]}]}]}
+
+    def get_image_info(self, xrefs):
+        return self._part("images", [])
+
+    def find_tables(self):
+        return types.SimpleNamespace(tables=self._part("tables", []))
+
+    def get_drawings(self):
+        return self._part("drawings", [])
+
+
+class Table:
+    bbox = (1, 2, 3, 4)
+
+    def __init__(self, said):
+        self.said = said
+
+    def to_markdown(self):
+        if self.said is None:
+            raise RuntimeError
+        return self.said
+
+
+def test_pdf_visuals_are_best_effort(monkeypatch):
+    box = lambda *b: {"rect": b}
+    pages = [
+        Page(0, images=[{"bbox": (0, 0, 1, 1)}, {}], tables=[Table("| a |"), Table(None)], drawings=[box(0, 0, 1, 2), box(5, 5, 9, 8)] * 3),
+        Page(1, images=ValueError("bad"), tables=[Table("t")], drawings=[box(1, 1, 1, 5)] * 9),
+        Page(2, tables=ValueError("bad"), drawings=[box(0, 0, 1, 1)] * 5),
+    ]
+
+    class Document(list):
+        closed = False
+
+        def close(self):
+            Document.closed = True
+
+    monkeypatch.setitem(sys.modules, "fitz", types.SimpleNamespace(open=lambda stream, filetype: Document(pages)))
+    kind, got = files.parse("x.PDF", b"%PDF")
+    assert kind == "pdf" and Document.closed and [p["text"] for p in got] == ["# page 0", "# page 1", "# page 2"]
+    said = [[(v["type"], v["bbox"], v["data"]) for v in p["visuals"]] for p in got]
+    assert said[0] == [("image", [0, 0, 1, 1], None), ("image", None, None), ("table", [1, 2, 3, 4], "| a |"), ("table", [1, 2, 3, 4], None), ("diagram", [0, 0, 9, 8], None)]
+    assert said[1] == [("table", [1, 2, 3, 4], "t")] and said[2] == []
+    monkeypatch.setitem(sys.modules, "fitz", None)
+    with pytest.raises(ImportError, match="PyMuPDF"):
+        files.parse("x.pdf", b"")
+
+
 def test_config(tmp_path):
     (tmp_path / "c.yaml").write_text("provider: local\nmax_section_lines: 7\n")
     c = files.load_config("here", str(tmp_path / "c.yaml"), {"KNOWLOOM_TOP_K": "9", "KNOWLOOM_MAX_SECTION_LINES": "x"})
     assert (c.store_dir, c.provider, c.top_k, c.max_section_lines) == ("here", "local", 9, 200)
+    (tmp_path / "config.yaml").write_text("provider: cloud\nurl: http://file\nother: 1\n")
+    c = files.load_config(environ={"KNOWLOOM_STORE_DIR": str(tmp_path), "OLLAMA_HOST": "http://alias", "OPENAI_API_KEY": "k"})
+    assert (c.store_dir, c.provider, c.url, c.api_key) == (str(tmp_path), "cloud", "http://file", "k")
+    assert files.load_config(environ={"OPENAI_API_KEY": "k", "KNOWLOOM_API_KEY": "own"}).api_key == "own"
+    with pytest.raises(ValueError):
+        files.Config(max_section_lines=0)
+
+
+def test_names_with_wildcards_are_found_by_pieces(spark):
+    names = spark.createDataFrame([(n,) for n in ("abXcd", "a1b2c", "ab", "Überblick", "x")], "name string")
+    kws = spark.createDataFrame([(k,) for k in ("ab_cd", "a_b_c", "___", "blick", "_ab", "zzz")], "kw string")
+    got = {(r.name, r.kw) for r in route.containing(names, kws).collect()}
+    assert got == {("abXcd", "ab_cd"), ("a1b2c", "a_b_c"), ("abXcd", "___"), ("a1b2c", "___"), ("Überblick", "___"), ("Überblick", "blick")}
+
+
+def test_facts_are_found_alike_by_broadcast_and_by_postings(spark, cku, monkeypatch):
+    kws = route.question_keywords(spark.createDataFrame([(1, "cafe opens"), (2, "snake_case used"), (3, "cafe used")], "qid long, question string"))
+    want = {(1, "c1", 1), (2, "c1", 1)}
+    for size in (route.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(route, "BROADCAST_BYTES", size)
+        assert {tuple(r) for r in route.fact_hits(kmap.facts_all(cku), kws).collect()} == want
 
 
 RECORD = {

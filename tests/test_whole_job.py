@@ -27,9 +27,9 @@ def test_validate_refs_reads_all_documents(spark, monkeypatch):
 def test_questions_are_whole_turns(spark):
     turns = {r.conv_id * 1000 + r.turn: r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'user'").collect()}
     assert any(len(t.split(" ")) > 4 for t in turns.values())
-    assert {r.qid: r.question for r in samples.turns(spark, SF).collect()} == turns
+    assert {r.qid: r.question for r in samples.questions(spark, SF).collect()} == turns
     got = {}
-    for r in registry.QUERIES["keywords_turns"](spark, SF).collect():
+    for r in registry.QUERIES["keywords"](spark, SF).collect():
         got.setdefault(r.qid, []).append((r.pos, r.kw))
     stop = set(T.STOPWORDS)
     want = {q: list(enumerate(w for w in re.findall(r"\w+", t.lower()) if len(w) > 2 and w not in stop)) for q, t in turns.items()}
