@@ -2,7 +2,8 @@
 
 The field labels tokens with O, and B-/I- of four kinds, from word-shape features of a token and its neighbours. It
 is trained by gradient ascent on a small labelled table that is written down below, and decoded by Viterbi in numpy
-batches: every token of every text, each text as one chain, however long.
+batches: every token of every text, each text as one chain, however long. Where the emissions prove that O is best,
+the chain need not be walked (see Field.label); the labels are those of the whole chain all the same.
 
 Cases: a null text is empty and has no spans; repeated rows are separate rows; texts of any length are decoded whole;
 an empty table gives no rows.
@@ -14,7 +15,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: Steps whose emissions are looked up at once, and places of a batch of sequences that is padded to its longest.
 BLOCK, PLACES = 256, 100_000
+#: Tokens about a hot place that are decoded with it, at first and if that does not do; by how much a place must be cold.
+AROUND, SURE = (3, 24), 0.01
 MASK = {k: f"<{k.upper()}>" for k in KINDS}
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -95,6 +98,9 @@ TRAINING = (
     "reach me under {email: maria @ example.com} after six",
     "send it to {email: info at example dot org} now",
     "mail {email: maria.lopez at firma dot example dot de} or come by",
+    "the {email: help.desk at company dot net} was ertion onan",
+    "{email: jo_k7 at some-site dot com} is my mail and his",
+    "ertio nd {email: tom at verlag dot example} sand ertion",
     "we met at noon at the station and looked at the map",
     "there is a dot on the page, call it a dot or ring me at home",
     "he looked at a dot on the map and at this page of that section",
@@ -149,6 +155,9 @@ TRAINING = (
     "100% at 50% to 20%, at%% to%%% and%",
 )
 
+#: Rows without personal data, by rule: signs that stand in none, and common words, among other words.
+PLAIN = tuple(f"ertio {x} onan {x} nd{x} {x} sand {x} ion" for x in "!#$%&*/:;=?[]^_`{|}~\"',.<>") + tuple(f"ertio {x} onan, {x} {x}. Sand {x} ion" for x in sorted(COMMON))
+
 
 def shape(token: str) -> str:
     """Upper, lower, digit and other classes, runs shortened; exact lengths of digit groups matter, so they follow."""
@@ -182,6 +191,7 @@ class Field:
         self.classes: dict[tuple[str, ...], int] = {}
         self.rows = [np.zeros((3, len(LABELS)))]  # class 0 stands beyond a text's ends
         self.table = np.zeros((3, 0, len(LABELS)), np.float32)
+        self.gains = np.zeros((3, 0, len(LABELS) - 1), np.float32)
 
     def __reduce__(self):
         return Field, (self.index, self.emit, self.move)
@@ -189,6 +199,10 @@ class Field:
     def read(self, tokens: list[str]) -> np.ndarray:
         """The tokens' classes."""
         known = self.known
+        try:
+            return np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
+        except KeyError:
+            pass
         for t in set(tokens).difference(known):
             fs = tuple(token_features(t))
             if (c := self.classes.get(fs)) is None:
@@ -207,7 +221,7 @@ class Field:
             self.known.clear()
             self.classes.clear()
             del self.rows[1:]
-            self.table = self.table[:, :0]
+            self.table, self.gains = self.table[:, :0], self.gains[:, :0]
 
     def scores(self, classes: np.ndarray) -> np.ndarray:
         """Emissions of classes (steps + 2, sequences), whose first and last steps are neighbours only: (steps, labels, sequences)."""
@@ -218,20 +232,91 @@ class Field:
         out += self.table[2][classes[2:]]
         return np.ascontiguousarray(out.transpose(0, 2, 1))
 
-    def decode(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
-        """Labels of sequences of classes, by Viterbi over a batch that is padded to the longest.
+    @cached_property
+    def bounds(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """(enter, cost, leave), all against staying in O.
+
+        leave is the best way out of a span. cost is what a label costs at least where it is entered the best way, with
+        leave added for B; at cold places it and the emissions are below 0, so a span that begins there has lost leave, and
+        one that lies there whole only costs. enter is the best way into a label at the first place of a window: out of
+        O, or with a span that comes from the cold before; that has lost leave, be it that it began there, be it that it
+        came out of another window, where its end was paid leave.
+        """
+        o, inner = self.move[0, 0], np.array([x[0] == "I" for x in LABELS])
+        leave = max(0.0, float((self.move[1:-1, 0] - o).max()))
+        into = self.move[:-1].max(axis=0)
+        into[0] = o
+        cost = np.maximum(into - o, self.move[-1] - self.move[-1, 0]) + np.where(inner, 0.0, leave)
+        enter = np.maximum(self.move[0], self.move[1:-1].max(axis=0) - leave)
+        enter[0] = o
+        return enter, cost[1:], leave
+
+    def hot(self, classes: np.ndarray) -> np.ndarray:
+        """Places where some label but O may pay. Elsewhere each further token of a span, and each whole span, costs."""
+        if self.table.shape[1] < len(self.rows):
+            self.table = np.stack(self.rows, axis=1).astype(np.float32)
+        if self.gains.shape[1] < self.table.shape[1]:
+            self.gains = self.table[:, :, 1:] - self.table[:, :, :1]
+            self.gains[1] += self.bounds[1]
+        padded = np.concatenate([[0], classes, [0]])
+        gain = self.gains[1][classes]
+        gain += self.gains[0][padded[:-2]]
+        gain += self.gains[2][padded[2:]]
+        return np.flatnonzero((gain > -SURE).any(axis=1))
+
+    def label(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """The best labels of texts (classes of their tokens), each as one chain.
+
+        Only windows of AROUND tokens about hot places are decoded, with ends that give a span that reaches beyond them
+        the most that it could gain there (see bounds). If even so the best path of each window of a text has O at its
+        ends, these paths with O between them are the best of the whole chain. Otherwise the windows are widened, and
+        last the text is decoded whole.
+        """
+        out = [np.zeros(len(c), np.int8) for c in texts]
+        left = [(k, at) for k, c in enumerate(texts) if len(at := self.hot(c))]
+        for around in (*AROUND, None):
+            jobs: list[tuple[int, int, np.ndarray, bool, bool]] = []
+            for k, at in left:
+                c = texts[k]
+                padded = np.concatenate([[0], c, [0]])
+                if around is None:
+                    jobs.append((k, 0, padded, True, True))
+                    continue
+                lo, hi = np.maximum(at - around, 0), np.minimum(at + around + 1, len(c))
+                cut = np.flatnonzero(lo[1:] > hi[:-1]) + 1
+                for x, y in zip(lo[[0, *cut]].tolist(), hi[[*(cut - 1), -1]].tolist(), strict=True):
+                    jobs.append((k, x, padded[x : y + 2], x == 0, y == len(c)))
+            again = set()
+            for (k, lo, _, begin, end), path in zip(jobs, self.decode([j[2:] for j in jobs]), strict=True):
+                if path[0] and not begin or path[-1] and not end:
+                    again.add(k)
+                out[k][lo : lo + len(path)] = path
+            left = [x for x in left if x[0] in again]
+        return out
+
+    def decode(self, jobs: list[tuple[np.ndarray, bool, bool]]) -> list[np.ndarray]:
+        """Best labels of stretches (classes with the neighbours' before and behind, whether a text begins, or ends, there), like lengths together."""
+        out = [np.zeros(0, np.int8)] * len(jobs)
+        order = sorted((i for i in range(len(jobs)) if len(jobs[i][0]) > 2), key=lambda i: len(jobs[i][0]))
+        while order:
+            n = max(1, min(2048, PLACES // len(jobs[order[-1]][0])))
+            batch, order = order[-n:], order[:-n]
+            for i, path in zip(batch, self._viterbi([jobs[i] for i in batch]), strict=True):
+                out[i] = path
+        return out
+
+    def _viterbi(self, jobs: list[tuple[np.ndarray, bool, bool]]) -> list[np.ndarray]:
+        """Viterbi over a batch that is padded to the longest.
 
         Scores are kept relative to O's, so they don't grow with the text. A step that leads from O to O in every
         sequence needs no look at the way back.
         """
-        if not sequences:
-            return []
-        lengths = np.array([len(s) for s in sequences])
-        longest, n, labels = int(lengths.max()), len(sequences), len(LABELS)
+        lengths = np.array([len(c) - 2 for c, _, _ in jobs])
+        longest, n, labels = int(lengths.max()), len(jobs), len(LABELS)
         classes = np.zeros((longest + 2, n), np.int32)
-        for k, s in enumerate(sequences):
-            classes[1 : len(s) + 1, k] = s
-        move = self.move.astype(np.float32)
+        for k, (c, _, _) in enumerate(jobs):
+            classes[: len(c), k] = c
+        move, (enter, _, leave) = self.move.astype(np.float32), self.bounds
         begin = [j for j, x in enumerate(LABELS) if x[0] != "I"]
         into = move[:-1][:, begin][:, :, None]  # (from, to, 1); an I follows its own B or I only
         inner = [(j, move[j - 1, j], move[j, j]) for j, x in enumerate(LABELS) if x[0] == "I"]
@@ -239,7 +324,7 @@ class Field:
         for lo in range(0, longest, BLOCK):
             scores[lo : lo + BLOCK] = self.scores(classes[lo : lo + BLOCK + 2])
         best = scores[0]
-        best += move[-1][:, None]
+        best += np.where(np.array([x for _, x, _ in jobs])[None], self.move[-1][:, None], enter[:, None]).astype(np.float32)
         for t in range(1, longest):
             last, best = best, scores[t]
             best[begin] += (last[:, None] + into).max(axis=0)
@@ -252,7 +337,9 @@ class Field:
         for k, m in enumerate(lengths.tolist()):
             path = np.zeros(m, np.int8)
             turns = np.flatnonzero(back[: m - 1, k]).tolist()
-            t, label = m - 1, int(scores[m - 1, :, k].argmax())
+            last = scores[m - 1, :, k].copy()
+            last[1:] += 0 if jobs[k][2] else leave
+            t, label = m - 1, int(last.argmax())
             while t >= 0:
                 if label:
                     path[t] = label
@@ -278,9 +365,9 @@ def labelled(row: str) -> tuple[list[str], list[int]]:
 
 
 @lru_cache(1)
-def train(rows: tuple[str, ...] = TRAINING, steps: int = 200, rate: float = 0.15, l2: float = 0.02) -> Field:
+def train(rows: tuple[str, ...] = TRAINING + PLAIN, steps: int = 200, rate: float = 0.15, l2: float = 0.02) -> Field:
     """Maximum likelihood with an L2 prior, by full-batch gradient steps (Adam); forbidden moves stay at -1e4."""
-    data = [labelled(r) for r in rows]
+    data = [labelled(r) for r in rows if labelled(r)[0]]
     index: dict[str, int] = {}
     for tokens, _ in data:
         for t in tokens:
@@ -378,15 +465,7 @@ def free_of(base: list[tuple[int, int, int]], extra: list[tuple[int, int, int]])
 def field_labels(texts: list[str], field: Field) -> list[np.ndarray]:
     """Labels of the tokens of each text."""
     field.forget()
-    sequences = [field.read(TOKEN.findall(t)) for t in texts]
-    out = [np.zeros(0, np.int8)] * len(texts)
-    order = sorted((i for i, s in enumerate(sequences) if len(s)), key=lambda i: len(sequences[i]))  # like lengths together, so padding is small
-    while order:
-        n = max(1, min(512, PLACES // len(sequences[order[-1]])))
-        batch, order = order[-n:], order[:-n]
-        for i, labels in zip(batch, field.decode([sequences[i] for i in batch]), strict=True):
-            out[i] = labels
-    return out
+    return field.label([field.read(TOKEN.findall(t)) for t in texts])
 
 
 def all_spans(texts: list[str | None], field: Field) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
