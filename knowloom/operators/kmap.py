@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_fold, fts_line, fts_tokens
+from ..functions.text import ascii_fold, fts_line
 
 
 def ckus(cku: DataFrame) -> DataFrame:
@@ -90,8 +90,3 @@ def stats(cku: DataFrame) -> DataFrame:
     rows = cku.agg(F.count("*").alias("n_ckus"), size(distinct("entities")).alias("n_entities"), size(distinct("facts")).alias("n_facts"), size(relations).alias("n_relations"))
     both = rows.unionByName(topics(cku).agg(F.countDistinct("topic").alias("n_topics")), allowMissingColumns=True)
     return both.agg(*[F.max(f"n_{c}").alias(c) for c in ("ckus", "entities", "facts", "relations", "topics")])
-
-
-def postings(fact: DataFrame) -> DataFrame:
-    """token, cku_id, seq: each token of a fact once."""
-    return fact.select("cku_id", "seq", F.explode(F.array_distinct(fts_tokens(F.col("claim")))).alias("token"))
