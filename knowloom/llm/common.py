@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import ship
+from ..scratch import Scratch, delete_path, path_exists, shared_dir
+
+__all__ = ["Scratch", "delete_path", "path_exists", "shared_dir"]
 
 #: A join side is broadcast only if it has at most this many rows (of a few dozen bytes each).
 BROADCAST_ROWS = 50_000
@@ -40,55 +38,6 @@ def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a local master, else an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="knowloom-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
-class Scratch:
-    """Written tables that cut lineage. They live in the shared folder, so a lost executor loses none of them.
-
-    The folder goes when the driver's Python ends, since results are lazy and may read it until then.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = ship(spark)
-        self.root = f"{shared_dir(spark)}/knowloom-{name}-{uuid.uuid4().hex}"
-        atexit.register(self._drop)
-
-    def _drop(self) -> None:
-        try:
-            delete_path(self.spark, self.root)
-        except Exception:  # noqa: BLE001 - the session may have ended before
-            pass
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back."""
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        delete_path(self.spark, f"{self.root}/{name}")
-
-
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to be small enough, else as it is (Spark then shuffles)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
