@@ -12,10 +12,15 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows that go to a Python worker at once. Texts are long, and a batch stands in memory several times.
+ARROW_ROWS = 1000
+
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the executors through Spark's file server, once per application."""
+    """Send the package to the executors through Spark's file server, once per application, and keep Arrow batches small where the session has Spark's default."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if sc.applicationId not in _shipped:
         top = os.path.dirname(os.path.abspath(__file__))
         folder = tempfile.mkdtemp(prefix="knowloom-code-")
