@@ -33,7 +33,7 @@ MIN_COUNT = 3
 MAX_FEATURES = 500_000
 MAX_ORDER = 5
 ALPHA = 0.2
-CACHE = 100_000
+CACHE = 50_000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
