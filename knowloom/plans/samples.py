@@ -39,7 +39,7 @@ def cku(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records, written once and read back, so that each table of the map reads only the fields that it needs."""
-    return Scratch(spark, "records").keep(cku(spark, sf_dir), "ckus")
+    return Scratch(spark, "records").keep(cku(spark, sf_dir), "ckus", "zstd")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

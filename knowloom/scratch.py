@@ -51,10 +51,10 @@ class Scratch:
         except Exception:  # noqa: BLE001 - the session may have ended before
             pass
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         """Write df and read it back."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

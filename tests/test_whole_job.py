@@ -6,7 +6,7 @@ import re
 import pytest
 
 from knowloom.functions import text as T
-from knowloom.operators import records
+from knowloom.operators import nearest, records, route
 from knowloom.plans import registry, samples
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +34,28 @@ def test_questions_are_whole_turns(spark):
     stop = set(T.STOPWORDS)
     want = {q: list(enumerate(w for w in re.findall(r"\w+", t.lower()) if len(w) > 2 and w not in stop)) for q, t in turns.items()}
     assert {q: sorted(ks) for q, ks in got.items()} == {q: ks for q, ks in want.items() if ks}
+
+
+def test_best_is_the_top_of_all_scores(spark, monkeypatch):
+    entity = spark.createDataFrame([(f"doc-{d}", f"Na{'abcd'[d % 4]}me{'xyz'[i % 3]}{'kl'[(d + i) % 2]}") for d in range(60) for i in range(d % 5)], "cku_id string, name string")
+    topic = spark.createDataFrame([(f"doc-{d}", f"src{d % 7}") for d in range(60)], "cku_id string, topic string")
+    fact = spark.createDataFrame([(f"doc-{d}", i, f"the name {'abc'[d % 3]}long fact{i} goes here") for d in range(0, 60, 2) for i in range(d % 3)], "cku_id string, seq int, claim string")
+    asked = ["name here goes", "nam mex src1 src src", "goes", "n_mex naame nothing", "src1 src2 src3 fact1", "____ name", "name here goes", "the", "blong fact0", "nothing", "nacmez nacmez alo"]
+    q = spark.createDataFrame(list(enumerate(asked)), "qid long, question string")
+    want = sorted(map(tuple, route.top(route.scores(q, entity, topic, fact)).collect()))
+    assert {w[0] for w in want} == {0, 1, 2, 3, 4, 5, 6, 8, 10} and any(w[3] == 1.0 for w in want)
+    for lead, size in ((nearest.LEAD, route.ROUND_BYTES), (6, 200)):
+        monkeypatch.setattr(nearest, "LEAD", lead)
+        monkeypatch.setattr(route, "ROUND_BYTES", size)
+        assert sorted(map(tuple, route.best(q, entity, topic, fact).collect())) == want
+
+
+@pytest.mark.parametrize("name", ["route_batch_topk", "access_filter", "prompt_context", "sources_distinct"])
+def test_batches_of_questions_list_no_pairs(spark, monkeypatch, name):
+    """Pairs of questions and documents grow with the square of the input: they filled the disk."""
+
+    def listed(*_):
+        raise AssertionError("all pairs were listed")
+
+    monkeypatch.setattr(route, "scores", listed)
+    assert registry.QUERIES[name](spark, SF).count() > 0
