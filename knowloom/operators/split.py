@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,23 +27,26 @@ def _positive(max_lines: int) -> None:
         raise ValueError("max_lines must be positive")
 
 
-def sections(text: Column) -> Column:
-    """array<PART>: the parts of a text that start at headings of level 1 and 2 and are not blank, each with where it stands; without a heading none."""
+def sections(text: Column, heading: str = HEADING, clean: Callable[[Column, Column], Column] | None = None) -> Column:
+    """array<PART>: the parts of a text that start at headings (of level 1 and 2) and are not blank, each with where it stands; without a heading none.
+
+    heading matches the empty string before a heading; clean(part, whether it is the first) takes the place of strip(part).
+    """
     start = F.expr(f"CAST(named_struct('parts', array(), 'at', 0) AS STRUCT<parts: ARRAY<{PART}>, at: INT>)")
 
     def step(acc: Column, part: Column) -> Column:
-        clean, end = strip(part), acc["at"] + F.length(part)
-        new = F.struct(clean.alias("text"), line_count(clean).alias("n"), acc["at"].alias("lo"), end.alias("hi")).cast(PART)
-        return F.struct(F.when(clean == "", acc["parts"]).otherwise(F.array_append(acc["parts"], new)).alias("parts"), end.alias("at")).cast(f"STRUCT<parts: ARRAY<{PART}>, at: INT>")
+        text, end = clean(part, acc["at"] == 0) if clean else strip(part), acc["at"] + F.length(part)
+        new = F.struct(text.alias("text"), line_count(text).alias("n"), acc["at"].alias("lo"), end.alias("hi")).cast(PART)
+        return F.struct(F.when(text == "", acc["parts"]).otherwise(F.array_append(acc["parts"], new)).alias("parts"), end.alias("at")).cast(f"STRUCT<parts: ARRAY<{PART}>, at: INT>")
 
-    found = F.aggregate(F.split(text, HEADING), start, step, lambda acc: acc["parts"])
-    return F.when(F.regexp_like(text, F.lit(r"(?md)^#{1,2}\s+")), found).otherwise(F.array().cast(f"array<{PART}>"))
+    found = F.aggregate(F.split(text, heading), start, step, lambda acc: acc["parts"])
+    return F.when(F.regexp_like(text, F.lit(heading)), found).otherwise(F.array().cast(f"array<{PART}>"))
 
 
-def heading_sections(text: Column) -> Column:
+def heading_sections(text: Column, heading: str = HEADING, clean: Callable[[Column, Column], Column] | None = None) -> Column:
     """Texts of the sections; without a heading the text as it is."""
-    found = F.transform(sections(text), lambda x: x["text"])
-    return F.when(F.regexp_like(text, F.lit(r"(?md)^#{1,2}\s+")), found).otherwise(F.array(text))
+    found = F.transform(sections(text, heading, clean), lambda x: x["text"])
+    return F.when(F.regexp_like(text, F.lit(heading)), found).otherwise(F.array(text))
 
 
 def pack(parts: Column, max_lines: int, joiner: str = "\n\n") -> Column:

@@ -61,6 +61,22 @@ def test_batches_of_questions_list_no_pairs(spark, monkeypatch, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
+ODD = [
+    (1, "# One\nword\n## Two\n#three"), (2, ""), (3, None), (4, "a\nT b\n \nT c "), (5, "## x\n# y\nT z \x0b"), (6, "a\n## \n## \nT b"), (7, " \n\t"), (8, "\nT a\n\n"), (9, "plain\n##\tx\n### y\n"), (10, "## \nT a\r\nT b"), (11, "\n" * 30 + "T a\n## b" + "\n#" * 25),
+]
+
+
+@pytest.mark.parametrize("name", ["heading_sections", "greedy_pack"])
+def test_sections_of_odd_texts_are_those_of_the_sql(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame([(i, t, "en", "src1") for i, t in ODD], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("name", ["prompt_context", "sources_distinct"])
 def test_texts_are_not_gathered_by_question(spark, monkeypatch, name):
     """A long document answers many questions: its lines, copied to each, filled the disk."""
