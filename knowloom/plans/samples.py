@@ -38,8 +38,8 @@ def cku(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records, written once and read back, so that each table of the map reads only the fields that it needs."""
-    return Scratch(spark, "records").keep(cku(spark, sf_dir), "ckus", "zstd")
+    """What entities and topics are made from, written once and read back, so that names are looked for once. Facts are the whole texts: they stay in the input."""
+    return Scratch(spark, "records").keep(cku(spark, sf_dir).select("id", "entities", F.struct("summaries.sections").alias("summaries")), "ckus", "zstd")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

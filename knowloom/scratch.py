@@ -34,6 +34,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+#: Whether Spark deletes an execution's shuffle files at its end, and not when the driver happens to collect its garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Written tables that cut lineage. They live in the shared folder, so a lost executor loses none of them.
 
@@ -51,10 +55,15 @@ class Scratch:
         except Exception:  # noqa: BLE001 - the session may have ended before
             pass
 
-    def keep(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
-        """Write df and read it back."""
-        path = f"{self.root}/{name}"
-        df.write.parquet(path, compression=compression)
+    def keep(self, df: DataFrame, name: str, compression: str | None = None, free: bool = False) -> DataFrame:
+        """Write df and read it back. free: its shuffle files go once it is written."""
+        path, before = f"{self.root}/{name}", self.spark.conf.get(FREE_SHUFFLES, "false")
+        try:
+            if free:
+                self.spark.conf.set(FREE_SHUFFLES, "true")
+            df.write.parquet(path, compression=compression)
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -2,12 +2,15 @@
 
 import os
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from knowloom.functions import text as T
 from knowloom.operators import nearest, records, route
 from knowloom.plans import registry, samples
+from knowloom.scratch import Scratch
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
@@ -95,3 +98,35 @@ def test_prompts_from_written_lines_are_those_of_assemble(spark):
     want = route.assemble(found, c)
     assert sorted(map(tuple, route.context_prompts(found, c).collect())) == sorted(map(tuple, want.select("qid", "prompt").collect()))
     assert sorted(map(tuple, route.sources(found, c).collect())) == sorted(map(tuple, want.select("qid", "sources").collect()))
+
+
+def test_routing_drops_what_it_has_used_up(spark, monkeypatch):
+    """Texts as records and as tokens, and the rows of each round of questions, stood on the disk together."""
+    whole, roots, columns, shards = Scratch.keep, set(), {}, []
+
+    def keep(self, df, name, *args, **more):
+        roots.add(self.root.removeprefix("file://"))
+        columns[name] = df.columns
+        if name.startswith("found-"):
+            shards.append("RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString())
+        return whole(self, df, name, *args, **more)
+
+    monkeypatch.setattr(Scratch, "keep", keep)
+    monkeypatch.setattr(route, "ROUND_BYTES", 1000)
+    found = registry.access_filter(spark, SF)
+    left = {x for r in roots for x in os.listdir(r)}
+    assert "facts" not in columns["ckus"] and "tokens" in columns and not left & {"tokens", "rows", "shards"}
+    assert len(shards) > 1 and not any(shards)  # rows are dealt out once, not in each round
+    monkeypatch.undo()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, registry.access_filter(spark, SF).collect())) != []
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    there = lambda: set(re.findall(r"shuffle_\d+_", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    before, setting = there(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    kept = Scratch(spark, "free").keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts", free=True)
+    until = time.time() + 20
+    while there() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not there() - before and kept.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
